@@ -72,11 +72,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), as Parquet: for wide or many rows, whose columns are then read one by one."""
-    path = f"{shared_dir(df.sparkSession)}/gramloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """As cut(), as Parquet: for wide or many rows, whose columns are then read one by one. The
+    shuffle files of what was written go at once, not when the driver happens to collect garbage."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/gramloom-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,6 +68,16 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join c using (u) left join s using (u)"""
 
 
+def _op4() -> str:
+    return r"""
+with d as (select row_number() over () as u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select u, p, md5(array_to_string(w[p:p + 34], ' ')) as h from (select u, w, unnest(range(1, len(w) - 33)) as p from d where len(w) >= 35)),
+r as (select u, p from s where h in (select h from s group by h having count(*) > 1)),
+gone as (select distinct u, unnest(range(p, p + 35)) as q from r),
+kept as (select u, string_agg(x, ' ' order by q) as t, count(*) as n from (select u, unnest(w) as x, unnest(range(1, len(w) + 1)) as q from d) a anti join gone using (u, q) group by u)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (u)"""
+
+
 def _op5() -> str:
     esc = lambda c: f"regexp_replace({c}, '{chat.HEAD}(\\\\*){chat.CONTROL}', '\\1\\\\\\2\\3', 'g')"
     marks = len(chat.START) + len(chat.SEP) + len(chat.END)
@@ -143,6 +153,7 @@ select doc_id, {', '.join(f'coalesce(n_{k}, 0)::bigint as n_{k}' for k in secret
 ORACLES: dict[str, str] = {
     "op1_warc_derivatives": _op1(),
     "op3_benchmark_decontamination": _op3(),
+    "op4_substring_dedup": _op4(),
     "op5_chat_formatting": _op5(),
     "op6_source_mixing": _op6(),
     "op8_secret_scan": _op8(),
