@@ -11,16 +11,13 @@ def quote(s: str) -> str:
 
 
 def _op1() -> str:
-    t = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in ("head", "script", "style"):
-        t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?i)</?({warc.BLOCK_TAGS})\\b[^>]*>', chr(10), 'g')"
+    t = f"regexp_replace(html, {quote(warc.HIDDEN)}, ' ', 'g')"
+    t = f"regexp_replace({t}, '(?i)</?(?:{warc.BLOCK_TAGS})\\b[^>]*>', chr(10), 'g')"
     t = f"regexp_replace({t}, '</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"
-    for name, char in warc.ENTITIES:
-        t = f"replace({t}, {quote(name)}, {quote(char)})"
-    t = f"replace({t}, '&amp;', '&')"
-    t = f"regexp_replace({t}, '[ \\t\\f\\r]+', ' ', 'g')"
-    t = f"regexp_replace(regexp_replace({t}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    for name, char in warc.ENTITIES.items():  # the ampersand's own last
+        t = f"replace({t}, {quote(f'&{name};')}, {quote(char)})"
+    t = f"regexp_replace({t}, '[ \\t\\f\\r]{{2,}}|[\\t\\f\\r]', ' ', 'g')"
+    t = f"trim(regexp_replace({t}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
     return f"""
 with macro_free as (
   select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages

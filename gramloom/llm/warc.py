@@ -28,8 +28,9 @@ from gramloom.llm.common import let
 #: The alphabet of base32 digests, block-level elements, named entities.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
-            ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€")]
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "copy": "©", "reg": "®", "middot": "·", "hellip": "…",
+            "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "euro": "€", "amp": "&"}
+HIDDEN = "(?is)<(?:!--.*?-->|" + "|".join(rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("head", "script", "style")) + ")"
 CRLF = "\r\n"
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, fields string, block binary"
 
@@ -57,22 +58,25 @@ def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFr
         F.lit("application/http; msgtype=response").alias("content_type"), "payload_digest", "block_digest", F.lit("").alias("fields"), "block")
 
 
+def _resolved(piece: Column) -> Column:
+    """What stood after an ampersand, with the character that it names, or with the ampersand."""
+    name = F.substring_index(piece, ";", 1)
+    code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("int")
+    char = let(code, lambda n: F.when((n < 1) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("�")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+    known = F.create_map(*[F.lit(x) for e in ENTITIES.items() for x in e])
+    found = F.coalesce(F.try_element_at(known, name), F.when(F.regexp_like(name, F.lit("^#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6})$")), char))
+    return F.when(F.contains(piece, F.lit(";")) & found.isNotNull(), F.concat(found, F.substring(piece, F.length(name) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: no head, comments, scripts and styles; block elements end lines; entities resolved."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("head", "script", "style"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    t = F.regexp_replace(t, rf"(?i)</?({BLOCK_TAGS})\b[^>]*>", "\n")
+    t = F.regexp_replace(html, HIDDEN, " ")
+    t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"</?[A-Za-z][^>]*>|<[!?][^>]*>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    number = F.regexp_extract_all(t, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,5}|[0-9]{1,6});"), F.lit(0))
-    code = lambda e: F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.regexp_extract(e, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+)", 1)).cast("int")
-    char = lambda n: F.when((n < 1) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("�")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-    t = F.when(F.contains(t, F.lit("&#")), F.aggregate(F.array_distinct(number), t, lambda a, e: F.replace(a, e, char(code(e))))).otherwise(t)
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-    t = F.regexp_replace(t, r"[ \t\f\r]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("&")), let(F.split(x, "&", -1), lambda p: F.concat(
+        p[0], F.array_join(F.transform(F.slice(p, 2, F.size(p) - 1), _resolved), "")))).otherwise(x))
+    t = F.regexp_replace(t, r"[ \t\f\r]{2,}|[\t\f\r]", " ")
+    return F.btrim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def derive(records: DataFrame, *, carry: list[str] = ()) -> DataFrame:
