@@ -72,6 +72,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts that a Python worker and its executor hold at once, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch for this session: whole texts are long, and the default of
+    10,000 rows puts tens of megabytes in each executor's and each worker's buffers."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a node's smaller neighbours and itself on the least of them
         low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         hung = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import cut
+from gramloom.llm.common import cut, small_batches
 from gramloom.llm.components import components
 
 SHINGLE, RADIUS = 4, 4
@@ -67,6 +67,7 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, *, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """The columns named in `keep`, and fp: the fingerprint's bits as bigint."""
+    small_batches(documents.sparkSession)
     sent = documents.select(*keep, F.col("text").alias("the text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[:-1])
 
