@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import table
+from gramloom.llm.common import small_batches, table
 
 #: Two primes under 2^31, a base for each.
 MODULI = ((1 << 31) - 1, (1 << 31) - 19)
@@ -197,6 +197,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_neighbours(documents: DataFrame) -> DataFrame:
     """RESULT for each row: one range shuffle of the texts; only a row of each task takes a second step."""
+    small_batches(documents.sparkSession)
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     rows = table(ordered.mapInArrow(_walk, f"{RESULT}, task int, first string, last string"), "fingerprints")
     # a row of each task that had rows: their number is that of tasks, not of documents

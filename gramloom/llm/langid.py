@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gramloom.llm.common import small_batches
+
 BUCKETS = 1 << 15
 DIM = 16
 #: Bounds of the training sample: rows of a language, languages, words of a row that a step of training sees.
@@ -166,6 +168,7 @@ def training_rows(documents: DataFrame, *, per_language: int = PER_LANGUAGE, lan
 def predict(documents: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
     """The columns named in `keep`, lang_pred, score and rejected. Columns of these names are replaced."""
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     cols = keep if "text" in keep else [*keep, "text"]
     kept = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramloom.llm.common import small_batches
+
 #: Test key; a real run passes its own.
 KEY = b"pseudonyms: example key"
 ROUNDS = 8
@@ -182,6 +184,7 @@ def replace_all(text: str, key: bytes = KEY, invert: bool = False) -> tuple[str,
 
 def pseudonymise(documents: DataFrame, *, key: bytes = KEY, invert: bool = False) -> DataFrame:
     """documents with pseudonyms in `text`, and a last column pii_spans: "kind:start:end" of each, comma-joined."""
+    small_batches(documents.sparkSession)
     names = documents.columns
     at = names.index("text")
     rest = [i for i in range(len(names)) if i != at]
