@@ -20,6 +20,7 @@ at a time; one row alone is its own next. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ MODULI = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
 #: Prefixes and suffixes kept at most, places of the sketch, code points of its spans.
 KEPT, SKETCH, SPAN = 32, 32, 24
+#: A place of the sketch without a span, in 12 bits, and as it is spelled.
+EMPTY, BLANK = 4095, "__"
 
 
 class Powers:
@@ -106,12 +109,17 @@ def _step(n: int) -> int:
     return g
 
 
+def _letters(values: np.ndarray) -> str:
+    """24-bit numbers, four characters each."""
+    return base64.urlsafe_b64encode(values.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
+
+
 def fingerprint(codes: np.ndarray) -> str:
     """whole hash, length, prefixes, suffixes, sketch; joined by dots."""
     p, n = Prefixes(codes), len(codes)
     at = np.arange(1, n // _step(n) + 1) * _step(n) if n else np.zeros(0, np.int64)
     low = np.uint64((1 << 32) - 1)
-    part = lambda h: "".join(f"{int(v):08x}" for v in (h ^ h >> np.uint64(31)) & low)
+    part = lambda h: _letters((h ^ h >> np.uint64(31)) & np.uint64((1 << 24) - 1))
     zero, end = np.zeros(len(at), np.int64), np.full(len(at), n)
     k = min(SPAN, n)
     start = np.arange(n - k + 1) if n else np.zeros(0, np.int64)
@@ -120,15 +128,16 @@ def fingerprint(codes: np.ndarray) -> str:
     place, value = (h >> np.uint64(59)).astype(np.int64) % SKETCH, (h >> np.uint64(20)) & low
     least = np.full(SKETCH, 1 << 33, np.uint64)
     np.minimum.at(least, place, value)
-    sketch = "".join(f"{int(v) & 0xFFFF:04x}" if v <= low else "----" for v in least)
+    twelve = np.where(least <= low, least % np.uint64(EMPTY), np.uint64(EMPTY))
+    sketch = _letters(twelve[::2] << np.uint64(12) | twelve[1::2])
     return ".".join([f"{p.span(0, n):016x}", str(n), part(p.hashes(zero, at)), part(p.hashes(n - at, end)), sketch])
 
 
 def _agreed(a: str, b: str, step_a: int, step_b: int) -> int:
     """Length to which two lists of hashes at multiples agree, by binary search over the coarser ones."""
     step = max(step_a, step_b)
-    x = lambda s, g, i: s[8 * (i * step // g - 1) : 8 * (i * step // g)]
-    low, high = 0, min(len(a) // 8 * step_a, len(b) // 8 * step_b) // step
+    x = lambda s, g, i: s[4 * (i * step // g - 1) : 4 * (i * step // g)]
+    low, high = 0, min(len(a) // 4 * step_a, len(b) // 4 * step_b) // step
     while low < high:
         mid = (low + high + 1) // 2
         if x(a, step_a, mid) == x(b, step_b, mid):
@@ -148,10 +157,10 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     ends = (_agreed(pa_, pb, _step(n), _step(m)) + _agreed(sa, sb, _step(n), _step(m))) / max(n, m)
     same = used = 0
-    for i in range(0, 4 * SKETCH, 4):
-        if ka[i : i + 4] != "----" or kb[i : i + 4] != "----":
+    for i in range(0, 2 * SKETCH, 2):
+        if ka[i : i + 2] != BLANK or kb[i : i + 2] != BLANK:
             used += 1
-            same += ka[i : i + 4] == kb[i : i + 4]
+            same += ka[i : i + 2] == kb[i : i + 2]
     return min(1.0, max(ends, same / used if used else 0.0))
 
 
