@@ -144,7 +144,7 @@ from (select q, regexp_matches(q, '^\\d+:\\d+-\\d+$') as ok from (select case wh
     "vbyte_size": f"{B} select lvl, sum({_VB.replace('v)', 'n)')})::bigint as n_bytes from (select lvl, fp, count(*) as n from occ group by lvl, fp) group by lvl",
     "vbyte_roundtrip": f"""select v, {_VB} as n_bytes, array_to_string(list_transform(range(0, {_VB}), lambda i: printf('%02X', ((v >> (7 * i)::int) & 127) + case when i = {_VB} - 1 then 128 else 0 end)), '') as forward,
   array_to_string(list_transform(range(0, {_VB}), lambda i: printf('%02X', ((v >> (7 * i)::int) & 127) + case when i = 0 then 128 else 0 end)), '') as backward, v as decoded, v as decoded_back from ({_VALUES})""",
-    "h0_entropy": f"""{B}{RL} select t::bigint as total, round(h, 6) as h0, round(t * round(h, 6), 2) as nh0 from (select any_value(t) as t, sum(freq / t * log2(t / freq)) as h from (select freq, sum(freq) over () as t from freq where freq > 0))""",
+    "h0_entropy": f"""{B}{RL} select t::bigint as total, round(h, 6) as h0, round(t * h, 2) as nh0 from (select any_value(t) as t, sum(freq / t * log2(t / freq)) as h from (select freq, sum(freq) over () as t from freq where freq > 0))""",
     "code_sizes": f"""{B}{RL}, k as (select freq, row_number() over (order by sym_id) as i, row_number() over (order by freq desc, sym_id) as j from freq)
 select sum(((length(bin(i)) + 7) // 8 + length(bin(i)) + 7) // 8 * freq)::bigint as by_id, sum(((length(bin(j)) + 7) // 8 + length(bin(j)) + 7) // 8 * freq)::bigint as by_frequency from k""",
     "report_space": "select v, case when v < 1000 then v || ' bytes' else (c // 100) || '.' || printf('%02d', c % 100) || ' ' || unit end as space from (select v, u, unit, (v + u // 200) // greatest(1, u // 100) as c from ("
