@@ -207,7 +207,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_neighbours(documents: DataFrame) -> DataFrame:
     """RESULT for each row: one range shuffle of the texts; only a row of each task takes a second step."""
     small_batches(documents.sparkSession)
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # by doc_id alone: what the ranges are sampled by goes to the driver; rows of one id stay together
+    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = table(ordered.mapInArrow(_walk, f"{RESULT}, task int, first string, last string"), "fingerprints")
     # a row of each task that had rows: their number is that of tasks, not of documents
     ends = rows.where("task is not null").select("task", "doc_id", "fingerprint", "first", "last")
