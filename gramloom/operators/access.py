@@ -18,17 +18,16 @@ from gramloom.plans.materialize import materialize
 RULE_RATE, STRING_RATE = 4, 8
 
 
-def laid_out(rhs: DataFrame, owner: str, p: Packed) -> DataFrame:
+def laid_out(rhs: DataFrame, owner: str) -> DataFrame:
     """(owner, pos, child, len, end): children with the running sum of their lengths."""
-    size = p.sym.select(F.col("sym_id").alias("s"), "len")
     w = Window.partitionBy(owner).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rhs.join(size, F.col("child") == F.col("s")).select(owner, "pos", "child", "len").withColumn("end", F.sum("len").over(w))
+    return rhs.select(owner, "pos", "child", "len").withColumn("end", F.sum("len").over(w))
 
 
 def rule_samples(p: Packed, rate: int = RULE_RATE) -> DataFrame:
     """(sym_id, pos, acc): expansion length of the first pos children, for each pos-th and for all; of a run-length rule
     for all."""
-    ends = laid_out(p.rhs, "owner", p).withColumn("n", F.max("pos").over(Window.partitionBy("owner")))
+    ends = laid_out(p.rhs, "owner").withColumn("n", F.max("pos").over(Window.partitionBy("owner")))
     some = ends.where(((F.col("pos") + 1) % rate == 0) | (F.col("pos") == F.col("n"))).select(F.col("owner").alias("sym_id"), (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("end").alias("acc"))
     rl = p.rl.join(p.sym.select("sym_id", "len"), "sym_id").select("sym_id", F.col("run_len").alias("pos"), F.col("len").alias("acc"))
     return some.unionByName(rl)
@@ -36,13 +35,13 @@ def rule_samples(p: Packed, rate: int = RULE_RATE) -> DataFrame:
 
 def string_samples(p: Packed, rate: int = STRING_RATE) -> DataFrame:
     """(str_id, pos, acc) for each pos-th child of a string."""
-    ends = laid_out(p.roots, "str_id", p)
+    ends = laid_out(p.roots, "str_id")
     return ends.where((F.col("pos") + 1) % rate == 0).select("str_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.col("end").alias("acc"))
 
 
-def _bodies(p: Packed, rhs: DataFrame, owner: str) -> DataFrame:
+def _bodies(rhs: DataFrame, owner: str) -> DataFrame:
     """(owner, kids): array<struct<pos, child, len, end>>."""
-    kids = laid_out(rhs, owner, p).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("pos", "child", "len", "end"))).alias("kids"))
+    kids = laid_out(rhs, owner).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("pos", "child", "len", "end"))).alias("kids"))
     return kids.select(F.col(owner).alias("owner"), "kids")
 
 
@@ -66,8 +65,8 @@ def access(p: Packed, queries: DataFrame) -> DataFrame:
     def sampled(df: DataFrame, rate: int) -> DataFrame:
         return df.withColumn("samples", F.transform(F.filter("kids", lambda k: (k["pos"] + 1) % rate == 0), lambda k: k["end"]))
 
-    rules = materialize(sampled(_bodies(p, p.rhs, "owner"), RULE_RATE), "bodies")
-    strings = sampled(_bodies(p, p.roots, "str_id"), STRING_RATE)
+    rules = materialize(sampled(_bodies(p.rhs, "owner"), RULE_RATE), "bodies")
+    strings = sampled(_bodies(p.roots, "str_id"), STRING_RATE)
     q = queries.where("start >= 0 and stop >= start").select("qid", F.col("str_id").alias("owner"), F.col("start").alias("lo"), F.col("stop").alias("hi"), F.lit(0).cast("bigint").alias("out"))
     nodes = q.join(strings, "owner").select("qid", F.explode(_covered(F.col("kids"), F.col("samples"), STRING_RATE)).alias("x")).select("qid", "x.*")
     one = p.sym.select(F.col("sym_id").alias("s"), F.col("len").alias("one"))

@@ -48,11 +48,10 @@ def verify(p: Packed, strings: DataFrame) -> DataFrame:
 def parse_tree(p: Packed, depth: int) -> DataFrame:
     """(str_id, depth, pos, sym_id, start): the nodes of the strings' parse trees down to a depth; start is the
     offset of the node's first byte. Nodes of a string are joined with bodies, once for each step down."""
-    size = p.sym.select(F.col("sym_id").alias("s"), "len")
     starts = F.expr("aggregate(slice(kids, 1, pos), cast(0 as bigint), (a, k) -> a + k.len)")
 
     def bodies(df: DataFrame, owner: str) -> DataFrame:
-        kids = df.join(size, F.col("child") == F.col("s")).groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("pos", "child", "len"))).alias("kids"))
+        kids = df.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("pos", "child", "len"))).alias("kids"))
         return kids.select(owner, "kids", F.posexplode("kids").alias("pos", "kid")).select(owner, "pos", F.col("kid.child").alias("child"), starts.alias("off"))
 
     rules = materialize(bodies(p.rhs, "owner"), "offsets")

@@ -28,12 +28,14 @@ class Grammar:
     strings: DataFrame
 
 
-def build(strings: DataFrame) -> Grammar:
-    """The grammar of (str_id, text). Texts are parsed once; the one large shuffle is the distinct of
-    the rules, which every task has done for its batches before."""
-    rows = materialize(build_rows(strings), "built")
-    rules = materialize(rows.where("rhs is not null").select("lvl", "fp", "rhs", "len").distinct(), "rules")
-    return Grammar(rules, rows.where("rhs is null").select("str_id", "lvl", "fp", "len"))
+def build(strings: DataFrame, *, spread: int | None = None) -> Grammar:
+    """The grammar of (str_id, text). Texts are parsed once, and what is parsed is written once: the one large
+    shuffle is the distinct of the rules, which every task has done for its batches before. The strings' rows
+    pass through it, one each. `spread` deals the strings over so many tasks first, for input that lies in
+    fewer row groups than there are cores."""
+    strings = strings.repartition(spread) if spread else strings
+    rows = materialize(build_rows(strings).distinct(), "built")
+    return Grammar(rows.where("rhs is not null").select("lvl", "fp", "rhs", "len"), rows.where("rhs is null").select("str_id", "lvl", "fp", "len"))
 
 
 def merge(a: Grammar, b: Grammar) -> Grammar:
@@ -66,8 +68,8 @@ def terminals(spark: SparkSession) -> DataFrame:
 @dataclass(frozen=True)
 class Packed:
     """sym (sym_id, kind, lvl, fp, byte, len): kinds t (terminal), lc (rule), rl (run-length rule).
-    rhs (owner, pos, child) of the rules; roots (str_id, pos, child) of the strings; rl (sym_id, child,
-    run_len). n_rules, n_rl: how many of each; n_strings: with bytes; n: bytes and a separator each."""
+    rhs (owner, pos, child, len) of the rules; roots (str_id, pos, child, len) of the strings; len: bytes of
+    the child's expansion; rl (sym_id, child, run_len). n_rules, n_rl: how many of each; n_strings: with bytes; n: bytes and a separator each."""
 
     sym: DataFrame
     rhs: DataFrame
@@ -86,14 +88,15 @@ class Packed:
 def pack(g: Grammar) -> Packed:
     """Dense ids, and bodies by id."""
     spark = g.rules.sparkSession
-    numbered = with_row_index(g.rules.withColumn("spelled", F.hex("fp")), ["lvl", "spelled"], "nth").withColumn("sym_id", F.col("nth") + N_TERMINALS)
-    numbered = materialize(numbered.select("sym_id", "lvl", "fp", "rhs", "len"), "numbered")
+    numbered = with_row_index(g.rules, ["lvl", "fp"], "nth").select((F.col("nth") + N_TERMINALS).alias("sym_id"), "lvl", "fp", "rhs", "len")
     sym = terminals(spark).unionByName(numbered.select("sym_id", F.lit("lc").alias("kind"), "lvl", "fp", F.lit(None).cast("int").alias("byte"), "len"))
-    used = sym.select(F.col("sym_id").alias("child"), F.col("lvl").alias("l"), F.col("fp").alias("f"))
-    parts = numbered.select(F.col("sym_id").alias("owner"), (F.col("lvl") - 1).alias("below"), F.posexplode(children(F.col("rhs"))).alias("pos", "fp"))
-    rhs = materialize(parts.join(used, (F.col("below") == F.col("l")) & (F.col("fp") == F.col("f"))).select("owner", "pos", "child"), "rhs")
-    roots = g.strings.where("fp is not null").join(used, (F.col("lvl") == F.col("l")) & (F.col("fp") == F.col("f"))).select("str_id", F.lit(0).alias("pos"), "child")
-    roots = materialize(roots, "roots")
+    # a number first among the join's keys: rows are then sorted by it, and binaries compared only where it is equal
+    used = sym.select(F.col("sym_id").alias("child"), F.col("lvl").alias("l"), F.col("fp").alias("f"), "len", F.xxhash64("lvl", "fp").alias("j"))
+    same = (F.col("k") == F.col("j")) & (F.col("fp") == F.col("f")) & (F.col("below") == F.col("l"))
+    parts = numbered.select(F.col("sym_id").alias("owner"), (F.col("lvl") - 1).alias("below"), F.posexplode(children(F.col("rhs"))).alias("pos", "fp")).withColumn("k", F.xxhash64("below", "fp"))
+    rhs = materialize(parts.join(used, same).select("owner", "pos", "child", "len"), "rhs")
+    roots = g.strings.where("fp is not null").select("str_id", F.col("lvl").alias("below"), "fp").withColumn("k", F.xxhash64("below", "fp")).join(used, same)
+    roots = materialize(roots.select("str_id", F.lit(0).alias("pos"), "child", "len"), "roots")
     counts = g.strings.agg(F.count("fp").alias("s"), F.coalesce(F.sum(F.when(F.col("fp").isNotNull(), F.col("len") + 1)), F.lit(0)).alias("n")).first()
     none = spark.createDataFrame([], "sym_id bigint, child bigint, run_len bigint")
     return Packed(sym, rhs, roots, none, numbered.count(), 0, counts["s"], counts["n"])
@@ -103,11 +106,11 @@ def pack(g: Grammar) -> Packed:
 
 
 def runs(rhs: DataFrame, owner: str = "owner") -> DataFrame:
-    """(owner, pos, child, run_len): the maximal runs of equal children, by where they begin."""
+    """(owner, pos, child, run_len, len): the maximal runs of equal children, by where they begin; len of all of it."""
     w = Window.partitionBy(owner).orderBy("pos")
     new = F.when(F.col("child") == F.lag("child").over(w), 0).otherwise(1)
     numbered = rhs.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return numbered.groupBy(owner, "run", "child").agg(F.min("pos").alias("pos"), F.count("*").alias("run_len")).drop("run")
+    return numbered.groupBy(owner, "run", "child").agg(F.min("pos").alias("pos"), F.count("*").alias("run_len"), F.sum("len").alias("len")).drop("run")
 
 
 def run_length(p: Packed) -> Packed:
@@ -122,7 +125,7 @@ def run_length(p: Packed) -> Packed:
     def rewritten(r: DataFrame, owner: str) -> DataFrame:
         w = Window.partitionBy(owner).orderBy("old")
         joined = r.join(by, (F.col("child") == F.col("c")) & (F.col("run_len") == F.col("l")), "left")
-        return joined.select(owner, F.col("pos").alias("old"), F.coalesce("rl_id", "child").alias("child")).select(owner, (F.row_number().over(w) - 1).alias("pos"), "child")
+        return joined.select(owner, F.col("pos").alias("old"), F.coalesce("rl_id", "child").alias("child"), "len").select(owner, (F.row_number().over(w) - 1).alias("pos"), "child", "len")
 
     rhs, roots = materialize(rewritten(all_runs, "owner"), "rhs"), materialize(rewritten(string_runs, "str_id"), "roots")
     of = p.sym.select(F.col("sym_id").alias("c"), "lvl", F.col("len").alias("one"))
@@ -153,36 +156,37 @@ def compaction(p: Packed) -> DataFrame:
     return with_row_index(kept, ["sym_id"], "new_id")
 
 
+def with_starts(rhs: DataFrame, owner: str) -> DataFrame:
+    """rhs with a column start: the child's first byte in its owner's expansion."""
+    w = Window.partitionBy(owner).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rhs.withColumn("start", F.sum("len").over(w) - F.col("len"))
+
+
 def inlined(p: Packed) -> tuple[DataFrame, DataFrame]:
-    """(owner, body) of kept rules and (str_id, body) of strings, body: array of children in which every
-    rule that is used once is replaced by its own body, all the way down.
+    """(owner, start, child, len) of kept rules and (str_id, start, child, len) of strings: every rule that is used
+    once is replaced by its own body, all the way down; children are in order of start.
 
-    Level by level from below: a rule's body is final before any rule above takes it in, so a body
-    moves up once a level, and there are as many joins as levels.
+    A rule that is used once has one place, (owner, start). Places are followed upwards by pointer jumping: each
+    round joins the places that still stand in such a rule with that rule's own, so there are as many rounds as
+    the logarithm of the number of levels, and each row moves once a round.
     """
     once = materialize(disposable(p).where("freq = 1").select(F.col("sym_id").alias("once")), "once")
-    level = p.sym.where("kind = 'lc'").select(F.col("sym_id").alias("id"), "lvl")
-    rhs = materialize(p.rhs.join(level, F.col("owner") == F.col("id")).select("owner", "lvl", "pos", "child").join(once, F.col("child") == F.col("once"), "left").select("owner", "lvl", "pos", "child", F.col("once").isNotNull().alias("flat")), "flagged")
-    top = rhs.agg(F.max("lvl")).first()[0] or 0
-    bodies, open_ = [], None
-
-    def taken_in(rows: DataFrame, owner: str) -> DataFrame:
-        part = F.array("child")
-        if open_ is not None:
-            rows = rows.join(open_.select(F.col("owner").alias("o"), F.col("body").alias("b")), (F.col("child") == F.col("o")) & F.col("flat"), "left")
-            part = F.coalesce("b", part)
-        return rows.select(owner, F.struct("pos", part.alias("part")).alias("x")).groupBy(owner).agg(F.sort_array(F.collect_list("x")).alias("xs")).select(owner, F.flatten(F.transform("xs", lambda x: x["part"])).alias("body"))
-
-    for lvl in range(1, top + 1):
-        made = materialize(taken_in(rhs.where(F.col("lvl") == lvl), "owner").join(once, F.col("owner") == F.col("once"), "left"), "bodies")
-        bodies.append(made.where("once is null").select("owner", "body"))
-        flat = made.where("once is not null").select("owner", "body")
-        open_ = flat if open_ is None else open_.unionByName(flat)
-    strings = taken_in(p.roots.join(once, F.col("child") == F.col("once"), "left").select("str_id", "pos", "child", F.col("once").isNotNull().alias("flat")), "str_id")
-    out = bodies[0] if bodies else p.spark.createDataFrame([], "owner bigint, body array<bigint>")
-    for b in bodies[1:]:
-        out = out.unionByName(b)
-    return out, strings
+    in_rules, in_strings = with_starts(p.rhs, "owner"), with_starts(p.roots, "str_id")
+    none = F.lit(None).cast("bigint")
+    used = in_rules.select("owner", none.alias("str_id"), "start", "child", "len").unionByName(in_strings.select(none.alias("owner"), "str_id", "start", "child", "len"))
+    used = materialize(used.join(once, F.col("child") == F.col("once"), "left").select("owner", "str_id", "start", "child", "len", F.col("once").isNotNull().alias("inlined")), "used")
+    place = used.where("inlined").select(F.col("child").alias("rule"), F.col("owner").alias("in_rule"), F.col("str_id").alias("in_string"), F.col("start").alias("at"))
+    place = materialize(place.join(once, F.col("in_rule") == F.col("once"), "left").select("rule", "in_rule", "in_string", "at", F.col("once").isNotNull().alias("open")), "place")
+    while not place.where("open").isEmpty():
+        above = place.select(F.col("rule").alias("r"), F.col("in_rule").alias("up"), F.col("in_string").alias("up_string"), F.col("at").alias("up_at"), F.col("open").alias("up_open"))
+        moved = place.where("open").join(above, F.col("in_rule") == F.col("r")).select("rule", F.col("up").alias("in_rule"), F.col("up_string").alias("in_string"), (F.col("at") + F.col("up_at")).alias("at"), F.col("up_open").alias("open"))
+        place = materialize(place.where("not open").unionByName(moved), "place")
+    rows = used.where("not inlined").join(place, F.col("owner") == F.col("rule"), "left")
+    rows = materialize(rows.select(F.when(F.col("rule").isNull(), F.col("owner")).otherwise(F.col("in_rule")).alias("owner"), F.when(F.col("rule").isNull(), F.col("str_id")).otherwise(F.col("in_string")).alias("str_id"),
+                                   (F.col("start") + F.coalesce("at", F.lit(0))).alias("start"), "child", "len"), "bodies")
+    # rules that nothing uses have bodies no more
+    unused = disposable(p).where("freq = 0 and kind = 'lc'").select(F.col("sym_id").alias("owner"))
+    return rows.where("owner is not null").select("owner", "start", "child", "len").join(unused, "owner", "left_anti"), rows.where("str_id is not null").select("str_id", "start", "child", "len")
 
 
 def simplify(p: Packed) -> Packed:
@@ -191,8 +195,11 @@ def simplify(p: Packed) -> Packed:
     ids = materialize(compaction(p), "compaction")
     old = ids.select(F.col("sym_id").alias("old"), "new_id")
     new = lambda df, c: df.join(old, F.col(c) == F.col("old")).drop(c, "old").withColumnRenamed("new_id", c)
-    rhs = new(new(rules.select("owner", F.posexplode("body").alias("pos", "child")), "child"), "owner").select("owner", "pos", "child")
-    roots = new(strings.select("str_id", F.posexplode("body").alias("pos", "child")), "child").select("str_id", "pos", "child")
+
+    def placed(df: DataFrame, owner: str) -> DataFrame:
+        return df.select(owner, (F.row_number().over(Window.partitionBy(owner).orderBy("start")) - 1).alias("pos"), "child", "len")
+
+    rhs, roots = placed(new(new(rules, "child"), "owner"), "owner"), placed(new(strings, "child"), "str_id")
     rl = new(new(p.rl, "child"), "sym_id").select("sym_id", "child", "run_len")
     sym = materialize(new(p.sym, "sym_id").select(p.sym.columns), "sym")
     n_rules = sym.where("kind = 'lc'").count()

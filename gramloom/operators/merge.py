@@ -28,11 +28,11 @@ def new_rules(old: Grammar, new: Grammar) -> DataFrame:
 def placement(old: Grammar, new: Grammar) -> DataFrame:
     """(lvl, fp, place): for each rule that only `new` has, how many rules of its level in `old` have a lesser
     fingerprint; by one sort of both, so no rule is compared with all."""
-    both = old.rules.select("lvl", F.hex("fp").alias("spelled"), F.lit(1).cast("bigint").alias("old")).unionByName(new_rules(old, new).select("lvl", F.hex("fp").alias("spelled"), F.lit(0).cast("bigint").alias("old")))
-    before = with_running_sum(both, ["lvl", "spelled"], "old", "before")
+    both = old.rules.select("lvl", "fp", F.lit(1).cast("bigint").alias("old")).unionByName(new_rules(old, new).select("lvl", "fp", F.lit(0).cast("bigint").alias("old")))
+    before = with_running_sum(both, ["lvl", "fp"], "old", "before")
     levels = old.rules.groupBy("lvl").agg(F.count("*").alias("n"))
     base = levels.join(levels.select(F.col("lvl").alias("l"), F.col("n").alias("m")), F.col("l") < F.col("lvl"), "left").groupBy("lvl").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("base"))  # a row for each level
     top = levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("every"))
     placed = before.where("old = 0").join(F.broadcast(base), "lvl", "left").join(F.broadcast(top), F.lit(True))
     # a level that the old grammar doesn't have is above all of its levels
-    return placed.select("lvl", F.unhex("spelled").alias("fp"), (F.col("before") - F.coalesce("base", "every")).alias("place"))
+    return placed.select("lvl", "fp", (F.col("before") - F.coalesce("base", "every")).alias("place"))

@@ -215,11 +215,11 @@ QUERIES: dict[str, Query] = {
     "parse_coords": _parse_coords,
     "rl_runs": _on_plain(lambda p: G.runs(p.rhs).where("run_len > 1").select("owner", "pos", "child", "run_len")),
     "rl_rules": _on_rl(lambda p: p.rl),
-    "rl_rewrite": _on_rl(lambda p: p.rhs),
+    "rl_rewrite": _on_rl(lambda p: p.rhs.select("owner", "pos", "child")),
     "rhs_unrolled": _on_rl(_unrolled),
     "disposable_symbols": _on_rl(G.disposable),
     "id_compaction": _on_rl(G.compaction),
-    "simplified_rules": _on_simple(lambda p: p.rhs),
+    "simplified_rules": _on_simple(lambda p: p.rhs.select("owner", "pos", "child")),
     "simplified_stats": _on_simple(G.size_row),
     "string_rhs_len": _on_simple(lambda p: p.roots.groupBy("str_id").agg(F.count("*").alias("n"))),
     "string_boundaries": _on_simple(_boundaries),
