@@ -102,6 +102,11 @@ def split_lines(v: Column, delimiter: str) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def ends_with_any(v: Column, suffixes: list[str]) -> Column:
+    """The first of the suffixes that the string ends with; null if none does."""
+    return F.coalesce(*[F.when(F.endswith(v, F.lit(x)), F.lit(x)) for x in suffixes])
+
+
 def entropy(counts: DataFrame, n: str = "freq") -> DataFrame:
     """One row: total, h0 (bits per symbol of order zero), nh0 (bits of all)."""
     total = counts.agg(F.sum(n).alias("t"))

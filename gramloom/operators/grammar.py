@@ -144,15 +144,15 @@ def frequencies(p: Packed) -> DataFrame:
     return p.sym.select("sym_id", "kind", "lvl").join(n, F.col("sym_id") == F.col("child"), "left").select("sym_id", "kind", "lvl", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
 
 
-def disposable(p: Packed) -> DataFrame:
-    """(sym_id, freq): terminals and rules that aren't used, rules that are used once; never run-length rules used once."""
-    f = frequencies(p)
+def disposable(p: Packed, freq: DataFrame | None = None) -> DataFrame:
+    """(sym_id, kind, freq): terminals and rules that aren't used, rules that are used once; never run-length rules used once."""
+    f = frequencies(p) if freq is None else freq
     return f.where((F.col("freq") == 0) | ((F.col("freq") == 1) & (F.col("kind") == "lc"))).select("sym_id", "kind", "freq")
 
 
-def compaction(p: Packed) -> DataFrame:
+def compaction(p: Packed, freq: DataFrame | None = None) -> DataFrame:
     """(sym_id, new_id): kept symbols renumbered without gaps, in their order."""
-    kept = p.sym.select("sym_id").join(disposable(p).select("sym_id"), "sym_id", "left_anti")
+    kept = p.sym.select("sym_id").join(disposable(p, freq).select("sym_id"), "sym_id", "left_anti")
     return with_row_index(kept, ["sym_id"], "new_id")
 
 
@@ -162,7 +162,7 @@ def with_starts(rhs: DataFrame, owner: str) -> DataFrame:
     return rhs.withColumn("start", F.sum("len").over(w) - F.col("len"))
 
 
-def inlined(p: Packed) -> tuple[DataFrame, DataFrame]:
+def inlined(p: Packed, freq: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(owner, start, child, len) of kept rules and (str_id, start, child, len) of strings: every rule that is used
     once is replaced by its own body, all the way down; children are in order of start.
 
@@ -170,7 +170,7 @@ def inlined(p: Packed) -> tuple[DataFrame, DataFrame]:
     round joins the places that still stand in such a rule with that rule's own, so there are as many rounds as
     the logarithm of the number of levels, and each row moves once a round.
     """
-    once = materialize(disposable(p).where("freq = 1").select(F.col("sym_id").alias("once")), "once")
+    once = materialize(disposable(p, freq).where("freq = 1").select(F.col("sym_id").alias("once")), "once")
     in_rules, in_strings = with_starts(p.rhs, "owner"), with_starts(p.roots, "str_id")
     none = F.lit(None).cast("bigint")
     used = in_rules.select("owner", none.alias("str_id"), "start", "child", "len").unionByName(in_strings.select(none.alias("owner"), "str_id", "start", "child", "len"))
@@ -185,14 +185,15 @@ def inlined(p: Packed) -> tuple[DataFrame, DataFrame]:
     rows = materialize(rows.select(F.when(F.col("rule").isNull(), F.col("owner")).otherwise(F.col("in_rule")).alias("owner"), F.when(F.col("rule").isNull(), F.col("str_id")).otherwise(F.col("in_string")).alias("str_id"),
                                    (F.col("start") + F.coalesce("at", F.lit(0))).alias("start"), "child", "len"), "bodies")
     # rules that nothing uses have bodies no more
-    unused = disposable(p).where("freq = 0 and kind = 'lc'").select(F.col("sym_id").alias("owner"))
+    unused = disposable(p, freq).where("freq = 0 and kind = 'lc'").select(F.col("sym_id").alias("owner"))
     return rows.where("owner is not null").select("owner", "start", "child", "len").join(unused, "owner", "left_anti"), rows.where("str_id is not null").select("str_id", "start", "child", "len")
 
 
 def simplify(p: Packed) -> Packed:
     """Without disposable symbols, and with ids that have no gaps."""
-    rules, strings = inlined(p)
-    ids = materialize(compaction(p), "compaction")
+    freq = materialize(frequencies(p), "frequencies")
+    rules, strings = inlined(p, freq)
+    ids = compaction(p, freq)
     old = ids.select(F.col("sym_id").alias("old"), "new_id")
     new = lambda df, c: df.join(old, F.col(c) == F.col("old")).drop(c, "old").withColumnRenamed("new_id", c)
 

@@ -48,6 +48,11 @@ def test_reports(spark):
     assert [r[0] for r in df.collect()] == [["a", "b"], ["a"], ["a", "", "b"]]
 
 
+def test_suffixes(spark):
+    df = spark.createDataFrame([("a.txt",), ("b.gz",), ("c",), (None,)], "s string").select(M.ends_with_any(F.col("s"), [".gz", ".txt"]))
+    assert [r[0] for r in df.collect()] == [".txt", ".gz", None, None]
+
+
 def test_entropy(spark):
     row = M.entropy(spark.createDataFrame([(0, 3), (1, 1), (2, 0)], "sym_id long, freq long")).first()
     assert row.total == 4 and abs(row.h0 - (0.75 * math.log2(4 / 3) + 0.5)) < 1e-6
