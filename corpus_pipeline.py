@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import decontaminate, langid, mixing, pii, simhash
+from gramloom.llm import decontaminate, jaccard, langid, mixing, pii
 from gramloom.llm.common import load, table
 
 
@@ -33,12 +33,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates."""
-    fps = simhash.cut(simhash.fingerprints(docs.select(_key(docs).alias("id"), "text"), keep=["id"]))
-    keys = simhash.classes(fps, "id").select("component_id.*").distinct()
+    """The document with the least id of each class of near duplicates: similarity of five-word shingles of 0.8 or more."""
+    found = table(jaccard.sets(docs.select(_key(docs).alias("id"), "text")), "sets")
+    keys = jaccard.classes(found).select("component_id.*").distinct()
     kept = _joined(docs, keys, "left_semi")
     # equal rows have one key
-    return kept if fps.groupBy("id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return kept if found.groupBy("id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
