@@ -2,10 +2,11 @@
 
 Found and validated values are replaced by a keyed permutation of their own format: card
 numbers that pass the Luhn check stay such numbers, North American phone numbers, IPv4
-addresses, social security numbers, IBANs (mod 97) and calendar dates stay valid ones, and
-the letters and digits of a mail address's name and domain are permuted in place. Equal
-values get equal pseudonyms in every document, so links between documents survive, and the
-holder of the key can invert them.
+addresses, social security numbers, IBANs (mod 97) and calendar dates stay valid ones,
+numbers of a phone's form whose area code or exchange begins with 0 or 1 stay such numbers, and
+the letters and digits of a mail address's name and domain are permuted in place. Equal values
+get equal pseudonyms in every document, so links between documents survive, and the holder of
+the key can invert them.
 
 The permutation is a balanced Feistel network over pairs of residues, whose round function is
 keyed BLAKE2b, walked until it lands in the format. Separators, prefixes and letter case are
@@ -34,11 +35,18 @@ from gramloom.llm.common import small_batches
 #: Test key; a real run passes its own.
 KEY = b"pseudonyms: example key"
 ROUNDS = 8
+_REST = r"[0-9]{3}[ .-][0-9]{4}"
+#: Valid numbers (area code and exchange begin with 2-9), then any digits where +1, parentheses or separators show the form;
+#: by separators alone not where another group of four follows, as in a card number.
+PHONE = (
+    r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?!\w)"
+    rf"|(?:\+?1[ .-]?)?\([0-9]{{3}}\) ?{_REST}|\+1[ .-]?[0-9]{{3}}[ .-]{_REST}|(?:1[ .-])?[0-9]{{3}}[ .-]{_REST}(?![ -][0-9]{{4}}(?![0-9])))(?!\w)"
+)
 #: Patterns of the kinds, in order of precedence.
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![\w])",
+    "phone": PHONE,
     "card": r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.\w)",
@@ -115,7 +123,9 @@ def _phone(v: str, key: bytes, invert: bool) -> str:
     d = re.sub("[^0-9]", "", v)
     body = d[-10:]
     ok = lambda n: (s := str(n).zfill(10))[0] > "1" and s[3] > "1"
-    return _put_back(v, d[:-10] + str(permute(int(body), 10**10, key, "phone", valid=ok, invert=invert)).zfill(10))
+    # valid numbers among themselves, and so are the others
+    like = ok(int(body))
+    return _put_back(v, d[:-10] + str(permute(int(body), 10**10, key, "phone", valid=lambda n: ok(n) == like, invert=invert)).zfill(10))
 
 
 def _ssn(v: str, key: bytes, invert: bool) -> str | None:
