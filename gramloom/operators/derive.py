@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.operators.grammar import Packed
+from gramloom.operators.grammar import Packed, with_starts
 from gramloom.plans.materialize import materialize
 
 
@@ -45,20 +45,20 @@ def verify(p: Packed, strings: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_strings"), F.sum(F.when(F.col("want") == F.col("got"), 1).otherwise(0)).cast("bigint").alias("n_equal"), F.sum(F.octet_length("got") / 2).cast("bigint").alias("n_bytes"))
 
 
-def parse_tree(p: Packed, depth: int) -> DataFrame:
-    """(str_id, depth, pos, sym_id, start): the nodes of the strings' parse trees down to a depth; start is the
-    offset of the node's first byte. Nodes of a string are joined with bodies, once for each step down."""
-    starts = F.expr("aggregate(slice(kids, 1, pos), cast(0 as bigint), (a, k) -> a + k.len)")
-
-    def bodies(df: DataFrame, owner: str) -> DataFrame:
-        kids = df.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct("pos", "child", "len"))).alias("kids"))
-        return kids.select(owner, "kids", F.posexplode("kids").alias("pos", "kid")).select(owner, "pos", F.col("kid.child").alias("child"), starts.alias("off"))
-
-    rules = materialize(bodies(p.rhs, "owner"), "offsets")
-    now = bodies(p.roots, "str_id").select("str_id", F.lit(1).alias("depth"), F.col("child").alias("sym_id"), F.col("off").alias("start"))
-    out = now
-    for d in range(2, depth + 1):
-        now = now.join(rules, F.col("sym_id") == F.col("owner")).select("str_id", F.lit(d).alias("depth"), F.col("child").alias("sym_id"), (F.col("start") + F.col("off")).alias("start"))
+def parse_tree(p: Packed, depth: int | None = None) -> DataFrame:
+    """(str_id, depth, pos, sym_id, start): the nodes of the strings' parse trees, down to the terminals or to a
+    depth; pos is the place under the parent, start the offset of the node's first byte. Nodes are joined with
+    bodies once for each step down, and a step is written before the next one."""
+    rl = p.rl.join(p.sym.select(F.col("sym_id").alias("c"), F.col("len").alias("one")), F.col("child") == F.col("c"))
+    copies = rl.select(F.col("sym_id").alias("owner"), "child", "one", F.explode(F.expr("sequence(0L, run_len - 1)")).alias("pos")).select("owner", "pos", "child", (F.col("pos") * F.col("one")).alias("off"))
+    bodies = lambda df, owner: with_starts(df, owner).select(owner, F.col("pos").cast("bigint").alias("pos"), "child", F.col("start").alias("off"))
+    rules = materialize(bodies(p.rhs, "owner").unionByName(copies), "offsets")
+    now = materialize(bodies(p.roots, "str_id").select("str_id", F.lit(1).alias("depth"), "pos", F.col("child").alias("sym_id"), F.col("off").alias("start")), "nodes")
+    out, d = now, 1
+    while d != depth and not now.isEmpty():
+        d += 1
+        below = rules.withColumnRenamed("pos", "place")
+        now = materialize(now.join(below, F.col("sym_id") == F.col("owner")).select("str_id", F.lit(d).alias("depth"), F.col("place").alias("pos"), F.col("child").alias("sym_id"), (F.col("start") + F.col("off")).alias("start")), "nodes")
         out = out.unionByName(now)
     return out
 

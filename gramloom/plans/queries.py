@@ -136,9 +136,9 @@ def _report_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(s: DataFrame) -> DataFrame:
-    """From every fifth string the bytes from a quarter to the half."""
+    """From every string the bytes from a quarter to the half."""
     n = F.octet_length("text")
-    return s.where("str_id % 5 = 0").select("str_id", F.floor(n / 4).cast("bigint").alias("start"), F.floor(n / 2).cast("bigint").alias("stop"))
+    return s.select("str_id", F.floor(n / 4).cast("bigint").alias("start"), F.floor(n / 2).cast("bigint").alias("stop"))
 
 
 def _delete(spark: SparkSession, sf_dir: str) -> E.Edited:
@@ -163,7 +163,7 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
     storage.save(G.build(conversations(spark, sf_dir)), path)
-    return _levels(storage.load(spark, path).rules.where("lvl <= 2"))
+    return _levels(storage.load(spark, path).rules)
 
 
 def _lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "expand_symbol": _on_plain(D.expansions),
     "decompress": _on_simple(D.decompress),
     "verify_roundtrip": lambda spark, sf_dir: D.verify(G.run_length(G.pack(G.build(conversations(spark, sf_dir)))), conversations(spark, sf_dir)),
-    "parse_tree": _on_plain(lambda p: D.parse_tree(p, 3)),
+    "parse_tree": _on_plain(D.parse_tree),
     "ra_samples_rules": _on_rl(A.rule_samples),
     "ra_samples_strings": _on_simple(A.string_samples),
     "access_char": _access(simple=False, char=True),
