@@ -47,6 +47,17 @@ LEAF, DEEPEST = 512, 24
 STRETCH = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes (bigint), a stretch of them at a time; zero of none."""
+    ones = sum((majority(hashes[a : a + STRETCH].view(np.uint64)) for a in range(0, len(hashes), STRETCH)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of a UTF-8 text: A-Z lower-cased, words between ASCII blanks."""
     words = text.lower().split()  # of bytes: ASCII only
@@ -61,7 +72,7 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     for a in range(0, n, STRETCH):
         h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[a : min(n, a + STRETCH)].tolist(), last[a : a + STRETCH].tolist(), strict=True)], np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += majority(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

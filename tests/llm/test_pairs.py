@@ -160,22 +160,87 @@ def test_substring_query(spark):
     assert B.op4_substring_dedup(spark, frame(spark, rows).limit(0)).isEmpty()
 
 
+def removed(docs, index):
+    got = B.cover(docs, index.repeats()).collect()
+    return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got), key=key)
+
+
 def test_index_in_batches(spark, tmp_path):
     rows = texts(40, 4)
     docs = frame(spark, rows).select("doc_id", "text")
-    index = B.FingerprintIndex(spark, str(tmp_path / "index"), fan_in=2)
-    for i in range(5):
-        part = spark.createDataFrame(rows[i::5], "doc_id long, text string")
-        index.ingest(part)
+    path = str(tmp_path / "index")
+    index = B.FingerprintIndex(spark, path, fan_in=2)
+    for i in range(4):
+        index.ingest(spark.createDataFrame(rows[i::4], "doc_id long, text string"), f"b{i}", docs)
         assert len(index.runs) <= 2
-    again = B.FingerprintIndex(spark, str(tmp_path / "index"))
-    assert sorted(again.runs) == sorted(index.runs)
-    got = B.cover(docs, again.repeats(docs)).collect()
-    want = brute_repeats(rows)
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got), key=key) == sorted(want, key=key)
-    # what the last batch repeats, of itself and of what came before
-    last = spark.createDataFrame(rows[4::5], "doc_id long, text string")
-    some = {(r.doc_id, r.h, r.start + i) for r in index.repeats(docs, last).collect() for i in range(r.n)}
-    keys = {tuple(r) for r in B._keyed(last).select("doc_id", "h").collect()}
-    every = {(r.doc_id, r.h, r.start + i) for r in index.repeats(docs).collect() for i in range(r.n)}
-    assert some == {x for x in every if x[:2] in keys}
+        so_far = [r for j in range(i + 1) for r in rows[j::4]]
+        if i in (1, 3):
+            assert removed(spark.createDataFrame(so_far, "doc_id long, text string"), index) == sorted(brute_repeats(so_far), key=key)
+    assert "Exchange" not in "\n".join(x for x in index.run(index.runs[0]).join(index.run(index.runs[0]).select("gram").distinct(), "gram", "left_semi")._jdf.queryExecution().executedPlan().toString().split("\n") if "gram" in x and "hashpartitioning" in x)
+    # a batch that comes again, and an index that is opened again by a session that knows no tables
+    index.ingest(spark.createDataFrame(rows[1::4], "doc_id long, text string"), "b1", docs)
+    for r in index.runs:
+        spark.sql(f"drop table {r}")
+    again = B.FingerprintIndex(spark, path)
+    assert again.runs == index.runs and list(again.batches) == ["b0", "b1", "b2", "b3"]
+    again.ingest(spark.createDataFrame([(500, rows[0][1])], "doc_id long, text string"), "b4", docs)
+    more = [*rows, (500, rows[0][1])]
+    assert removed(spark.createDataFrame(more, "doc_id long, text string"), again) == sorted(brute_repeats(more), key=key)
+
+
+def test_lost_writers(spark, tmp_path, monkeypatch):
+    """A writer is lost before its manifest, in the middle of a run, and between a merge and the removal of what was merged."""
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, line("a", 90)), (2, line("b", 90)), (3, line("c", 90)), (4, line("b", 40))]
+    path, kind = str(tmp_path / "index"), "doc_id long, text string"
+    part = lambda *at: spark.createDataFrame([rows[i] for i in at], kind)
+    index = B.FingerprintIndex(spark, path, fan_in=1)
+    index.ingest(part(0), "0")
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "_commit", lost)
+        with pytest.raises(KeyboardInterrupt):
+            index.ingest(part(1, 2), "1", part(0))
+    (tmp_path / "index" / "run_half").mkdir()
+    (tmp_path / "index" / "run_half" / "part-0.parquet").write_bytes(b"PAR1")
+    index = B.FingerprintIndex(spark, path, fan_in=1)
+    assert len(index.runs) == 1 and sorted(x.name for x in (tmp_path / "index").iterdir() if not x.name.startswith(".")) == sorted(["manifest", *index.runs, *index.batches.values()])
+    with monkeypatch.context() as m:
+        m.setattr(index, "_forget", lost)
+        with pytest.raises(KeyboardInterrupt):
+            index.ingest(part(1, 2), "1", part(0))
+    index = B.FingerprintIndex(spark, path, fan_in=1)
+    index.ingest(part(1, 2), "1", part(0))
+    docs = part(0, 1, 2)
+    assert len(index.runs) == 1 and removed(docs, index) == sorted(brute_repeats(rows[:3]), key=key) and all(r[2] == 0 for r in removed(docs, index))
+    index.ingest(part(3), "2", docs)
+    assert removed(part(0, 1, 2, 3), index) == sorted(brute_repeats(rows), key=key)
+
+
+def test_identical_rows_are_linear(spark, tmp_path):
+    text = " ".join(f"x{i}" for i in range(200))
+    for n in (2, 300):
+        docs = spark.createDataFrame([(7, text)] * n, "doc_id long, text string")
+        marks = B.FingerprintIndex(spark, str(tmp_path / str(n))).ingest(docs, "0")
+        assert marks.count() == len(B.groups(text.encode().split())[0])
+    assert {tuple(r)[1:3] for r in B.op4_substring_dedup(spark, docs).collect()} == {(200, 200)}
+
+
+def test_long_texts(spark, monkeypatch):
+    """Several stretches of hashes and anchors, with the border inside a repeated passage."""
+    r = random.Random(11)
+    words = [f"w{r.randrange(3000)}" for _ in range(40_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[19_000:19_200]) + " tail"), (3, " ".join(words[:33_000]))]
+    monkeypatch.setattr(S, "STRETCH", 1000)
+    whole = [S.simhash(t.encode()) for _, t in rows]
+    monkeypatch.undo()
+    assert whole == [S.simhash(t.encode()) for _, t in rows]
+    monkeypatch.setattr(B, "STRETCH", 997)
+    some = [B.groups(t.encode().split()) for _, t in rows]
+    monkeypatch.undo()
+    assert all((x == y).all() for t, g in zip(rows, some) for x, y in zip(g, B.groups(t[1].encode().split())))
+    got = B.op4_substring_dedup(spark, frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_repeats(rows), key=key)
