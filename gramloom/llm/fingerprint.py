@@ -5,22 +5,26 @@ primes. The hash of any span is (P[b] - P[a]) / B^a, so two spans are compared i
 time, wherever they stand, and the longest common extension of two places is found by binary
 search. Prefixes() is that structure.
 
-A fingerprint is a string of fixed layout that keeps a few of those values: the hash of the
-whole text and its length, the hashes of up to 32 prefixes and as many suffixes at multiples
-of a power of two, and a sketch of 32 least hashes of the spans of SPAN code points. From two
-fingerprints the longest common prefix and suffix are found by binary search over the
-multiples that both have, and the likeness is the larger of (prefix + suffix) / longer length
-and the sketch's share of equal places. Equal texts have equal fingerprints and likeness 1.
+A fingerprint keeps a few of those values: the text's length; the hash of the whole text; 32 bits
+of the hashes of up to KEPT prefixes and as many suffixes at multiples of a power of two (of a
+text of n code points at least n / KEPT apart, at most 2 n / KEPT); and a sketch, 16 bits each of
+the SKETCH least hashes of its spans of SPAN code points. It is spelled as length, dot, hex digits.
+From two fingerprints the longest common prefix and suffix are found by binary search over the
+multiples that both have, so each is told to within such a step; they count for no more than the
+shorter text. The likeness is the larger of (prefix + suffix) / longer length and the sketch's share
+of equal places, and at most the ratio of the lengths. Equal texts have equal fingerprints and likeness 1. The query also returns how many
+code points the text has in common with the edited one and with the next one at their beginnings,
+exactly, from the prefix arrays.
 
 Null text counts as empty; two empty texts are alike, an empty and another text are not at all.
 Rows are put in order of doc_id (null first), ties by text; the next row of the last is the
 first. Repeated rows are neighbours. An empty table gives no rows. A task holds a batch of rows
-at a time; one row alone is its own next. Other columns are ignored.
+at a time; one row alone is its own next. Rows of one doc_id are dealt out by the beginnings of their
+texts. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -37,8 +41,10 @@ MODULI = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
 #: Prefixes and suffixes kept at most, places of the sketch, code points of its spans.
 KEPT, SKETCH, SPAN = 32, 32, 24
-#: A place of the sketch without a span, in 12 bits, and as it is spelled.
-EMPTY, BLANK = 4095, "__"
+#: A place of the sketch without a span.
+EMPTY = (1 << 16) - 1
+#: Characters of a text by which rows of one doc_id are dealt out.
+DEALT = 16
 
 
 class Powers:
@@ -86,7 +92,10 @@ class Prefixes:
         return out
 
     def span(self, a: int, b: int) -> int:
-        return int(self.hashes(np.array([a]), np.array([b]))[0])
+        out = 0
+        for s, w in zip(self.sums, _POWERS, strict=True):
+            out = out << 31 | (int(s[b]) - int(s[a])) % w.p * int(w.upto(self.n + 1)[1][a]) % w.p
+        return out
 
 
 def common_extension(x: Prefixes, i: int, y: Prefixes, j: int) -> int:
@@ -109,17 +118,15 @@ def _step(n: int) -> int:
     return g
 
 
-def _letters(values: np.ndarray) -> str:
-    """24-bit numbers, four characters each."""
-    return base64.urlsafe_b64encode(values.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
+Raw = tuple[int, bytes]
 
 
-def fingerprint(codes: np.ndarray) -> str:
-    """whole hash, length, prefixes, suffixes, sketch; joined by dots."""
-    p, n = Prefixes(codes), len(codes)
+def raw_fingerprint(p: Prefixes) -> Raw:
+    """(length, bytes): whole hash, prefixes, suffixes, sketch."""
+    n = p.n
     at = np.arange(1, n // _step(n) + 1) * _step(n) if n else np.zeros(0, np.int64)
     low = np.uint64((1 << 32) - 1)
-    part = lambda h: _letters((h ^ h >> np.uint64(31)) & np.uint64((1 << 24) - 1))
+    part = lambda h: ((h ^ h >> np.uint64(31)) & low).astype(">u4").tobytes()
     zero, end = np.zeros(len(at), np.int64), np.full(len(at), n)
     k = min(SPAN, n)
     start = np.arange(n - k + 1) if n else np.zeros(0, np.int64)
@@ -128,12 +135,19 @@ def fingerprint(codes: np.ndarray) -> str:
     place, value = (h >> np.uint64(59)).astype(np.int64) % SKETCH, (h >> np.uint64(20)) & low
     least = np.full(SKETCH, 1 << 33, np.uint64)
     np.minimum.at(least, place, value)
-    twelve = np.where(least <= low, least % np.uint64(EMPTY), np.uint64(EMPTY))
-    sketch = _letters(twelve[::2] << np.uint64(12) | twelve[1::2])
-    return ".".join([f"{p.span(0, n):016x}", str(n), part(p.hashes(zero, at)), part(p.hashes(n - at, end)), sketch])
+    sketch = np.where(least <= low, least % np.uint64(EMPTY), np.uint64(EMPTY)).astype(">u2").tobytes()
+    return n, p.span(0, n).to_bytes(8, "big") + part(p.hashes(zero, at)) + part(p.hashes(n - at, end)) + sketch
+
+
+def spelled(raw: Raw) -> str:
+    return f"{raw[0]}.{raw[1].hex()}"
+
+
+def fingerprint(codes: np.ndarray) -> str:
+    return spelled(raw_fingerprint(Prefixes(codes)))
 
 
-def _agreed(a: str, b: str, step_a: int, step_b: int) -> int:
+def _agreed(a: bytes, b: bytes, step_a: int, step_b: int) -> int:
     """Length to which two lists of hashes at multiples agree, by binary search over the coarser ones."""
     step = max(step_a, step_b)
     x = lambda s, g, i: s[4 * (i * step // g - 1) : 4 * (i * step // g)]
@@ -147,21 +161,25 @@ def _agreed(a: str, b: str, step_a: int, step_b: int) -> int:
     return low * step
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1, of two fingerprints."""
+def raw_likeness(a: Raw, b: Raw) -> float:
     if a == b:
         return 1.0
-    (_, n, pa_, sa, ka), (_, m, pb, sb, kb) = a.split("."), b.split(".")
-    n, m = int(n), int(m)
+    (n, x), (m, y) = a, b
     if not n or not m:
         return 0.0
-    ends = (_agreed(pa_, pb, _step(n), _step(m)) + _agreed(sa, sb, _step(n), _step(m))) / max(n, m)
-    same = used = 0
-    for i in range(0, 2 * SKETCH, 2):
-        if ka[i : i + 2] != BLANK or kb[i : i + 2] != BLANK:
-            used += 1
-            same += ka[i : i + 2] == kb[i : i + 2]
-    return min(1.0, max(ends, same / used if used else 0.0))
+    parts = lambda n, x: (x[8 : 8 + 4 * (k := n // _step(n))], x[8 + 4 * k : 8 + 8 * k], np.frombuffer(x, ">u2", SKETCH, 8 + 8 * k))
+    (pa_, sa, ka), (pb, sb, kb) = parts(n, x), parts(m, y)
+    # a repeat may match as prefix and as suffix at once
+    ends = min(_agreed(pa_, pb, _step(n), _step(m)) + _agreed(sa, sb, _step(n), _step(m)), n, m) / max(n, m)
+    used = (ka != EMPTY) | (kb != EMPTY)
+    # nor can spans be shared beyond the shorter text, however often they repeat
+    return min(min(n, m) / max(n, m), max(ends, float((ka == kb)[used].mean()) if used.any() else 0.0))
+
+
+def likeness(a: str, b: str) -> float:
+    """0 to 1, of two fingerprints."""
+    back = lambda s: (int(s.partition(".")[0]), bytes.fromhex(s.partition(".")[2]))
+    return raw_likeness(back(a), back(b))
 
 
 def edited(text: str, after: str) -> str:
@@ -170,19 +188,26 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KIND = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64())])
+ROWS = "doc_id bigint, n_chars bigint, edited_sha256 string, own binary, edited_chars bigint, edited binary, near_edited double, near_next double, prefix_edited bigint, prefix_next bigint"
+_KIND = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("own", pa.binary()), ("edited_chars", pa.int64()), ("edited", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("prefix_edited", pa.int64()), ("prefix_next", pa.int64())])
+
 
+class _Text:
+    def __init__(self, doc_id: int | None, text: str):
+        self.doc_id, self.text, self.prefixes = doc_id, text, Prefixes(code_points(text))
+        self.raw = raw_fingerprint(self.prefixes)
 
-def _row(doc_id: int | None, text: str, own: str, after: str, following: str) -> dict:
-    e = edited(text, after)
-    f = fingerprint(code_points(e)) if e != text else own
-    return {"doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": own, "edited_fingerprint": f,
-            "near_edited": likeness(own, f), "near_next": likeness(own, following)}
+    def row(self, after: "_Text") -> dict:
+        """RESULT of the text, `after` being the next one."""
+        e = edited(self.text, after.text)
+        other = _Text(None, e) if e != self.text else self
+        return {"doc_id": self.doc_id, "n_chars": len(self.text), "edited_sha256": hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), "own": self.raw[1], "edited_chars": len(e), "edited": other.raw[1],
+                "near_edited": raw_likeness(self.raw, other.raw), "near_next": raw_likeness(self.raw, after.raw),
+                "prefix_edited": common_extension(self.prefixes, 0, other.prefixes, 0), "prefix_next": common_extension(self.prefixes, 0, after.prefixes, 0)}
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order: each with the next one. The first and the last row of the task also go out as they
+    """Rows in order: each with the next one. The first and the last text of the task also go out as they
     are, so that the last one can meet the next task's first."""
     kind = _KIND.append(pa.field("task", pa.int32())).append(pa.field("first", pa.string())).append(pa.field("last", pa.string()))
     task, held, first = TaskContext.get().partitionId(), None, None
@@ -190,37 +215,40 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            text = t.as_py() or ""
-            own = fingerprint(code_points(text))
+            now = _Text(i, t.as_py() or "")
             if held is None:
-                first = text
+                first = now.text
             else:
-                out.append(_row(*held, text, own) | plain)
-            held = (i, text, own)
+                out.append(held.row(now) | plain)
+            held = now
         if out:
             yield pa.RecordBatch.from_pylist(out, kind)
     if held is not None:
-        rest = dict.fromkeys(_KIND.names) | {"doc_id": held[0], "fingerprint": held[2], "task": task, "first": first, "last": held[1]}
-        yield pa.RecordBatch.from_pylist([rest], kind)
+        yield pa.RecordBatch.from_pylist([dict.fromkeys(_KIND.names) | {"doc_id": held.doc_id, "task": task, "first": first, "last": held.text}], kind)
 
 
 def with_neighbours(documents: DataFrame) -> DataFrame:
-    """RESULT for each row: one range shuffle of the texts; only a row of each task takes a second step."""
+    """ROWS for each row: one range shuffle of the texts; only a row of each task takes a second step."""
     small_batches(documents.sparkSession)
-    # by doc_id alone: what the ranges are sampled by goes to the driver; rows of one id stay together
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = table(ordered.mapInArrow(_walk, f"{RESULT}, task int, first string, last string"), "fingerprints")
-    # a row of each task that had rows: their number is that of tasks, not of documents
-    ends = rows.where("task is not null").select("task", "doc_id", "fingerprint", "first", "last")
-    cycle = ends.selectExpr("task", "doc_id", "fingerprint", "last", "coalesce(lead(first) over (order by task), first(first) over (order by task)) as after")
+    # by doc_id and a short beginning: what the ranges are sampled by goes to the driver
+    begin = F.substring("text", 1, DEALT)
+    ordered = documents.select("doc_id", "text", begin.alias("begin")).repartitionByRange("doc_id", "begin").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    rows = table(ordered.mapInArrow(_walk, f"{ROWS}, task int, first string, last string"), "fingerprints")
+    # a row of each task that had rows; their numbers alone are put in order, the texts meet in a join
+    ends = rows.where("task is not null").select("task", "doc_id", "first", "last")
+    cycle = ends.select("task").selectExpr("task as t", "coalesce(lead(task) over (order by task), first(task) over (order by task)) as next")
+    after = ends.select(F.col("task").alias("u"), F.col("first").alias("after"))
+    pairs = ends.select("task", "doc_id", "last").join(cycle, F.col("task") == F.col("t")).join(after, F.col("next") == F.col("u")).select("doc_id", "last", "after")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist([_row(r["doc_id"], r["last"], r["fingerprint"], r["after"], fingerprint(code_points(r["after"]))) for r in b.to_pylist()], _KIND)
+            yield pa.RecordBatch.from_pylist([_Text(r["doc_id"], r["last"]).row(_Text(None, r["after"])) for r in b.to_pylist()], _KIND)
 
-    return rows.where("task is null").drop("task", "first", "last").unionByName(cycle.mapInArrow(join, RESULT))
+    return rows.where("task is null").drop("task", "first", "last").unionByName(pairs.mapInArrow(join, ROWS))
 
 
 def op7_document_fingerprints(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Contract view: every text, its edited text and the next one, by fingerprint."""
-    return with_neighbours(documents)
+    spell = lambda n, raw: F.concat(F.col(n).cast("string"), F.lit("."), F.lower(F.hex(raw)))
+    return with_neighbours(documents).select(
+        "doc_id", "n_chars", "edited_sha256", spell("n_chars", "own").alias("fingerprint"), spell("edited_chars", "edited").alias("edited_fingerprint"), "near_edited", "near_next", "prefix_edited", "prefix_next")
