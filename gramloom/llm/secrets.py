@@ -3,12 +3,13 @@ against ordinary identifiers.
 
 Two first-order Markov models over printable ASCII give each candidate token a
 log-likelihood ratio; tokens above the threshold become spans beside those of
-the patterns. Everything is built-in expressions: the models are counted by a
-group-by over labelled samples and read as one literal table of at most
-128 x 128 scores, so no text leaves the JVM.
+the patterns, but for those that lie within one of them. Everything is built-in
+expressions: the models are counted by a group-by over labelled samples and read
+as one literal table of at most 128 x 128 scores, so no text leaves the JVM.
 
-Null text counts as empty: no spans. Long texts are scanned whole. Repeated rows
-each get their own result; columns beside the ones named are ignored.
+Null text counts as empty: no spans. Long texts are scanned whole. Spans that begin
+at one place stand in the order of the kinds. Repeated rows each get their own
+result; an empty table gives no rows; columns beside the ones named are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ PATTERNS = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),  # a run of the class is taken whole, so the least length can stand in the pattern
 }
 #: Tokens that the models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Least log-likelihood ratio, in thousandths of a nat per character, of a token that is reported.
-THRESHOLD = 300
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+#: Least log-likelihood ratio, in thousandths of a nat, of a token that is reported.
+THRESHOLD = 20_000
 #: Parts of which the ordinary identifiers of the labelled samples are put together.
 PARTS = [
     "account", "action", "address", "amount", "array", "author", "available", "balance", "between", "buffer",
@@ -51,12 +52,15 @@ PARTS = [
     "utilisateur", "connexion", "quelque", "toujours", "parametre", "enregistrement", "bibliotheque", "recherche", "affichage", "mouvement",
     "usuario", "configuracion", "direccion", "contrasena", "busqueda", "archivo", "siguiente", "respuesta", "cantidad", "mensaje",
 ]
-N_RANDOM = 6000
+#: Counters that random strings are made from, and ordinary tokens with digits; copies of rulers and alphabets.
+N_RANDOM, N_PLAIN, N_RULERS = 6000, 4000, 300
+#: Rulers and alphabets.
+RULERS = ["-" * 40, "=" * 40, "_" * 40, "/" * 40, "+" * 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
 
 
 def labelled_samples(spark: SparkSession) -> DataFrame:
-    """(value, label): random strings (1) in the usual alphabets, made from digests of a
-    counter, and ordinary identifiers (0) in the usual spellings, of pairs of PARTS."""
+    """(value, label): random strings (1) in the usual alphabets, made from digests of a counter, and ordinary
+    tokens (0): pairs of PARTS in the usual spellings, dates, numbers, paths and names with them, rulers, alphabets."""
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     raw = F.unhex(digest)
     random = spark.range(N_RANDOM).select(F.explode(F.array(
@@ -68,7 +72,15 @@ def labelled_samples(spark: SparkSession) -> DataFrame:
     plain = pairs.select(F.explode(F.array(
         F.concat_ws("_", a, b), F.concat(a, F.initcap(b)), F.concat(F.initcap(a), F.initcap(b)), F.concat_ws("-", a, b),
         F.concat(a, b), F.upper(F.concat_ws("_", a, b)), F.concat_ws("/", a, b))).alias("value"))
-    return random.withColumn("label", F.lit(1)).unionByName(plain.withColumn("label", F.lit(0)))
+    i = F.col("id")
+    year, month, day = 1970 + i % 80, 1 + i * 7 % 12, 1 + i * 11 % 28
+    date = F.format_string("%d-%02d-%02d", year, month, day)
+    part = lambda k: F.get(parts, (i * k % len(PARTS)).cast("int"))
+    numbered = spark.range(N_PLAIN).select(F.explode(F.array(
+        F.concat(date, F.lit("/"), F.format_string("%d-%02d-%02d", year, 1 + i * 5 % 12, 1 + i * 3 % 28)), F.concat_ws("-", part(1), date), F.concat(F.format_string("%d/%02d/%02d/", year, month, day), part(3)),
+        F.concat_ws("_", part(7), (i * 37 % 1000).cast("string")), F.concat(date, F.format_string("T%02d-%02d-00", i * 5 % 24, i * 13 % 60)), F.concat(part(5), (i % 100).cast("string")), (100_000_000_000 + i * 829348951).cast("string"))).alias("value"))
+    rulers = spark.range(N_RULERS).select(F.explode(F.array(*[F.lit(x) for x in RULERS])).alias("value"))
+    return random.withColumn("label", F.lit(1)).unionByName(plain.unionByName(numbered).unionByName(rulers).withColumn("label", F.lit(0)))
 
 
 def train(samples: DataFrame) -> list[int]:
@@ -115,18 +127,17 @@ def find(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), let(found, spans)).otherwise(none)
 
 
-def ratio(token: Column, model: list[int]) -> Column:
-    """Log-likelihood ratio of an ASCII token in thousandths of a nat per pair of characters, rounded down."""
+def score(token: Column, model: list[int]) -> Column:
+    """Log-likelihood ratio of an ASCII token in thousandths of a nat."""
     scores = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")  # one literal, folded when planned
-    return let(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.floor(
-        F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0).cast("bigint"),
-                    lambda t, i: t + F.get(scores, F.ascii(c[i]) * 128 + F.ascii(c[i + 1]))) / (F.size(c) - 1)))
+    return let(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.aggregate(
+        F.sequence(F.lit(0), F.size(c) - 2), F.lit(0).cast("bigint"), lambda t, i: t + F.get(scores, F.ascii(c[i]) * 128 + F.ascii(c[i + 1]))))
 
 
 def scan(docs: DataFrame, model: list[int], *, threshold: int = THRESHOLD, text: str = "text") -> DataFrame:
     """docs with a column `spans`: array<struct<start, ord, end, kind, value>> by start, then
     kind as listed. The kind `markov` has the candidate tokens that the models call random
-    and that aren't one span of a pattern already."""
+    and that don't lie within a span of a pattern."""
     t = F.coalesce(F.col(text), F.lit(""))
     kinds = [*PATTERNS, "markov"]
 
@@ -134,10 +145,9 @@ def scan(docs: DataFrame, model: list[int], *, threshold: int = THRESHOLD, text:
         return F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.lit(kinds.index(kind)).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
 
     base = F.concat(*[as_kind(find(t, *PATTERNS[k]), k) for k in PATTERNS])
-    more = F.filter(find(t, CANDIDATE), lambda s: ratio(s["value"], model) >= threshold)
-    return docs.withColumn("spans", let(base, lambda b: let(
-        F.transform(b, lambda s: F.concat_ws(":", s["start"], s["end"])),
-        lambda had: F.array_sort(F.concat(b, F.filter(as_kind(more, "markov"), lambda s: ~F.array_contains(had, F.concat_ws(":", s["start"], s["end"]))))))))
+    more = F.filter(find(t, CANDIDATE), lambda s: score(s["value"], model) >= threshold)
+    return docs.withColumn("spans", let(base, lambda b: F.array_sort(F.concat(b, F.filter(
+        as_kind(more, "markov"), lambda s: ~F.exists(b, lambda x: (x["start"] <= s["start"]) & (x["end"] >= s["end"])))))))
 
 
 def op8_secret_scan(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -114,6 +114,8 @@ select doc_id, d.size, f.size as source_size, f.target, coalesce(taken, 0)::bigi
 def _op8() -> str:
     parts = "[" + ", ".join(map(quote, secrets.PARTS)) + "]"
     cap = lambda c: f"upper({c}[1]) || {c}[2:]"
+    part = lambda k: f"{parts}[i * {k} % {len(secrets.PARTS)} + 1]"
+    date = "printf('%d-%02d-%02d', 1970 + i % 80, 1 + i * 7 % 12, 1 + i * 11 % 28)"
 
     def spans(kind: str, ord_: int, pattern: str, group: int, least: int) -> str:
         p = quote(pattern)
@@ -128,7 +130,10 @@ def _op8() -> str:
 with random as (select unnest([h, x, translate(x, '+/=', '-_'), substr(upper(translate(y, '+/=', '')), 1, 40)]) as v from (
     select h, to_base64(from_hex(h)) as x, to_base64(from_hex(sha256(h))) as y from (select sha256('sample' || i) as h from range({secrets.N_RANDOM}) r(i)))),
 plain as (select unnest([a || '_' || b, a || {cap('b')}, {cap('a')} || {cap('b')}, a || '-' || b, a || b, upper(a || '_' || b), a || '/' || b]) as v
-    from (select unnest({parts}) as a) x, (select unnest({parts}) as b) y),
+    from (select unnest({parts}) as a) x, (select unnest({parts}) as b) y
+  union all select unnest([{date} || '/' || printf('%d-%02d-%02d', 1970 + i % 80, 1 + i * 5 % 12, 1 + i * 3 % 28), {part(1)} || '-' || {date}, printf('%d/%02d/%02d/', 1970 + i % 80, 1 + i * 7 % 12, 1 + i * 11 % 28) || {part(3)},
+    {part(7)} || '_' || (i * 37 % 1000), {date} || printf('T%02d-%02d-00', i * 5 % 24, i * 13 % 60), {part(5)} || (i % 100), (100000000000 + i * 829348951)::varchar]) from range({secrets.N_PLAIN}) r(i)
+  union all select unnest([{', '.join(map(quote, secrets.RULERS))}]) from range({secrets.N_RULERS})),
 pairs as (select label, ord(v[i]) as x, ord(v[i + 1]) as y, count(*) as n from (select label, v, unnest(range(1, length(v))) as i from (select 1 as label, v from random union all select 0, v from plain)) group by all),
 sums as (select label, x, sum(n) as n from pairs group by all),
 grid as (select a.i as x, b.i as y from range(128) a(i), range(128) b(i)),
@@ -138,10 +143,10 @@ model as (select grid.x, grid.y, round(1000 * ln(((coalesce(p1.n, 0) + 1) / (coa
 d as (select row_number() over () as u, doc_id, coalesce(text, '') as text from documents),
 base as ({base}),
 cand as ({spans('markov', len(secrets.PATTERNS), secrets.CANDIDATE, 0, 0)}),
-scored as (select u, start, stop, value, floor(sum(score) / (length(value) - 1)) as ratio
+scored as (select u, start, stop, value, sum(score) as ratio
     from (select *, unnest(range(1, length(value))) as i from cand) c join model on x = ord(value[i]) and y = ord(value[i + 1]) group by u, start, stop, value),
 alls as (select u, kind, ord, start, stop from base union all
-    select u, 'markov', {len(secrets.PATTERNS)}, start, stop from scored where ratio >= {secrets.THRESHOLD} and not exists (select 1 from base where base.u = scored.u and base.start = scored.start and base.stop = scored.stop)),
+    select u, 'markov', {len(secrets.PATTERNS)}, start, stop from scored where ratio >= {secrets.THRESHOLD} and not exists (select 1 from base where base.u = scored.u and base.start <= scored.start and base.stop >= scored.stop)),
 g as (select u, {', '.join(f"count(*) filter (kind = '{k}') as n_{k}" for k in secrets.PATTERNS)},
     string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (kind <> 'markov') as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) as spans from alls group by u)
 select doc_id, {', '.join(f'coalesce(n_{k}, 0)::bigint as n_{k}' for k in secrets.PATTERNS)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (u)"""
