@@ -3,17 +3,19 @@ trained by stochastic gradient descent in numpy, with calibrated rejection.
 
 A document is the mean of the embeddings of its subwords: the 2- to 4-grams of the UTF-8
 bytes of its words (runs of letters, lower-cased, with a blank at both ends), hashed into
-buckets. Scores are a softmax over a linear layer; a temperature fitted on held
-back training rows calibrates them, and the rejection threshold is a low quantile of the
-scores of held back rows that were predicted rightly, bounded above.
-
-Training takes at most `per_language` rows of each of the `languages` most frequent
-languages, those with the least hashes of their text, so it is the same at every size of
-input but for chance; what is learned is a table of buckets by languages. Prediction counts
-the buckets of whole texts, a bounded stretch at a time.
-
-Null text, and text without a letter, is `und` with score 0 and rejected. Empty tables, and
-tables without a labelled training row, predict `und`. Repeated rows get equal results; ties
+buckets. Scores are a softmax over a linear layer; a temperature fitted on held back
+training rows, whole and in stretches of any length, calibrates them, and the rejection
+threshold is a low quantile of the scores of those that were predicted rightly.
+
+The sample for training is bounded: of each language the `per_language` distinct texts with
+the least hashes (copies are one text), or fewer where many languages share `rows` in all, and
+of each text a stretch of at most TRAIN_CHARS code points from a place that its hash tells. So it
+is the same at every size of input but for chance. What is learned is a table of buckets by
+languages, BUCKETS * 4 bytes a language; over MOST_LANGUAGES labels raise an error. Prediction
+counts the buckets of whole texts, a bounded stretch at a time.
+
+Letters are what isalpha() says. Null text, and text without a letter, is `und` with score 0 and
+rejected. Empty tables, and tables without a labelled training row, predict `und`. Repeated rows get equal results; ties
 between languages go to the first in code point order. Other columns are ignored.
 """
 
@@ -32,17 +34,20 @@ from gramloom.llm.common import small_batches
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Bounds of the training sample: rows of a language, languages, words of a row that a step of training sees.
+#: Bounds of the training sample: rows of a language, rows in all, code points of a row, words that a step of training sees.
 PER_LANGUAGE = 600
-LANGUAGES = 200
+ROWS = 120_000
+TRAIN_CHARS = 4000
 SNIPPET = 60
+#: Labels that a model can have.
+MOST_LANGUAGES = 2000
 #: Bytes of a text that are hashed at once.
 STRETCH = 1 << 20
-#: No document whose calibrated score reaches this is rejected.
-REJECT_BELOW = 0.35
-REJECT_QUANTILE = 0.001
+#: Stretches of each held back row that calibrate, beside the whole row; share of rightly predicted ones that is rejected.
+STRETCHES, REJECT_QUANTILE = 8, 0.001
 
-GAPS = re.compile(r"[\W\d_]+")
+#: \w has digits and numbers of all kinds; what is left of it is letters.
+GAPS = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 BITS = BUCKETS.bit_length() - 1
 
 
@@ -115,16 +120,23 @@ def fit(rows: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.5, seed
             bias -= 0.1 * r * g
             np.add.at(emb, ids, -(r * 8 / len(ids)) * back)
     table = emb @ lin
-    logits = np.array([averaged(f" {' '.join(w)} ", table) + bias for w, _ in held]).reshape(-1, len(languages))
-    truth = np.array([y for _, y in held], np.int64)
+    tried = []
+    for words, y in held:
+        tried.append((words, y))
+        for _ in range(STRETCHES):
+            n = int(rng.integers(1, SNIPPET + 1))
+            start = int(rng.integers(0, max(1, len(words) - n + 1)))
+            tried.append((words[start : start + n], y))
+    logits = np.array([averaged(f" {' '.join(w)} ", table) + bias for w, _ in tried]).reshape(-1, len(languages))
+    truth = np.array([y for _, y in tried], np.int64)
     if not len(truth):
         return Model(languages, table, bias, 1.0, 0.0)
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     temperature = float(min((t for t in np.geomspace(0.25, 8, 31)), key=loss))
     p = _softmax(logits / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    threshold = min(REJECT_BELOW, float(np.quantile(right, REJECT_QUANTILE)) if len(right) else 0.0)
-    return Model(languages, table, bias, temperature, threshold)
+    threshold = float(np.quantile(right, REJECT_QUANTILE)) if len(right) else 0.0
+    return Model(languages, table.astype(np.float32), bias, temperature, threshold)
 
 
 def averaged(words: str, table: np.ndarray) -> np.ndarray:
@@ -151,18 +163,24 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(documents: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """The bounded sample of (text, lang): of each of the most frequent languages the rows with the
-    least hashes. Rows are chosen by hash before texts are looked at, by a threshold from each
-    language's count, so nothing is sorted but what is nearly chosen already."""
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
-    counts = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+def training_rows(documents: DataFrame, *, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> list[tuple[str, str]]:
+    """The bounded sample of (text, lang): of each language the distinct texts with the least hashes. Rows are
+    chosen by hash before texts are looked at, by a threshold from the language's number of distinct texts, so
+    nothing is sorted but what is nearly chosen already."""
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
     if not counts:
         return []
-    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 40, int((1 << 40) * 1.5 * per_language / r["count"]) + 1))])
-    near = rows.withColumn("limit", F.element_at(limit, F.col("lang"))).where("h < limit").drop("limit")
+    per_language = max(1, min(per_language, rows // len(counts)))
+    # a third more than needed, and some more where few are needed: nothing is short by chance
+    limit = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 40, int((1 << 40) * (1.3 * per_language + 30) / max(1, r["n"])) + 1))])
+    near = labelled.withColumn("limit", F.element_at(limit, F.col("lang"))).where("h < limit").drop("limit")
+    most = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0))
+    cut = near.select("lang", "h", F.substring("text", F.pmod(F.col("h"), most + 1) + 1, F.lit(TRAIN_CHARS)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "text")
-    return [(r["text"], r["lang"]) for r in near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("text", "lang").collect()]
+    return [(r["text"], r["lang"]) for r in cut.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("text", "lang").collect()]
 
 
 def predict(documents: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
@@ -187,7 +205,8 @@ def predict(documents: DataFrame, model: Model, *, keep: list[str]) -> DataFrame
 
 
 def op9_language_id(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Contract view: learned from two folds, predicted for all."""
+    """Contract view: learned from two folds, predicted for all. `rejected` says which documents the calibrated
+    threshold turns down; their prediction stands."""
     docs = documents.select("doc_id", "text", "lang").withColumn("held_out", is_held_out(F.col("doc_id")))
     model = fit(training_rows(docs.where("not held_out")))
-    return predict(docs, model, keep=["doc_id", "held_out"]).drop("rejected")
+    return predict(docs, model, keep=["doc_id", "held_out"])
