@@ -52,10 +52,19 @@ def test_stage_joins_all_near_copies(spark):
     assert sorted(r.doc_id for r in pipe.near_dedup(spark, docs, "").collect()) == sorted(set(want))
 
 
-def test_order_does_not_matter(spark, monkeypatch):
+def test_order_and_blocks_do_not_matter(spark, monkeypatch):
+    """Without a sample, and with groups cut into blocks of three rows."""
     texts = _texts()
-    found = jaccard.cut(jaccard.sets(spark.createDataFrame(list(enumerate(texts)), "id long, text string")))
-    want = {(r.id, r.component_id) for r in found.join(jaccard.classes(found), "sig").collect()}
-    assert want == set(enumerate(_classes(texts)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, sig string")
     monkeypatch.setattr(jaccard, "FREQUENT", 1 << 30)
-    assert want == {(r.id, r.component_id) for r in found.join(jaccard.classes(found), "sig").collect()}
+    monkeypatch.setattr(jaccard, "SPLIT", 3)
+    assert {(r.id, r.component_id) for r in jaccard.classes(docs).collect()} == set(enumerate(_classes(texts)))
+
+
+def test_which_row_of_equal_ones_stays(spark):
+    rows = [(1, "one text of some words here", "b"), (1, "one text of some words here", "a"), (2, "one text of some words here", "0"), (3, None, "x"), (3, None, None)]
+    kind = "doc_id long, text string, source string"
+    for some in (rows, rows[::-1]):
+        kept = pipe.near_dedup(spark, spark.createDataFrame(some, kind), "")
+        assert kept.columns == ["doc_id", "text", "source"]
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[1], (3, None, "x")]))
