@@ -46,14 +46,18 @@ STRETCH = 1 << 20
 #: Stretches of each held back row that calibrate, beside the whole row; share of rightly predicted ones that is rejected.
 STRETCHES, REJECT_QUANTILE = 8, 0.001
 
-#: \w has digits and numbers of all kinds; what is left of it is letters.
-GAPS = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+GAPS = re.compile(r"[\W\d_]+")
+#: What is neither a gap nor a letter: numbers that aren't decimal digits, such as fractions.
+NUMBERS = {c: " " for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+_NUMBERS = str.maketrans(NUMBERS)
 BITS = BUCKETS.bit_length() - 1
 
 
 def letters(text: str | None) -> str:
     """The words of a text, lower-cased, a blank before, between and after; empty without a letter."""
     words = GAPS.sub(" ", f" {text.lower()} ") if text else " "
+    if not words.isascii() and not NUMBERS.keys().isdisjoint(words):
+        words = GAPS.sub(" ", words.translate(_NUMBERS))
     return words if words != " " else ""
 
 
@@ -147,7 +151,7 @@ def averaged(words: str, table: np.ndarray) -> np.ndarray:
         end = len(data) if end < 0 else end + (end < len(data) and data[end] == 32)
         counts += np.bincount(subwords(data[at:end]), minlength=len(table))
         at = end - 1
-    return (counts @ table) / max(1.0, counts.sum())
+    return (counts.astype(table.dtype) @ table) / max(1.0, counts.sum())
 
 
 def predict_one(model: Model, text: str | None) -> tuple[str, float]:
