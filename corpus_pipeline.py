@@ -33,12 +33,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates: similarity of five-word shingles of 0.8 or more."""
-    found = table(jaccard.sets(docs.select(_key(docs).alias("id"), "text")), "sets")
-    keys = jaccard.classes(found).select("component_id.*").distinct()
-    kept = _joined(docs, keys, "left_semi")
-    # equal rows have one key
-    return kept if found.groupBy("id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """The document with the least id of each class of near duplicates: similarity of five-word shingles of 0.8 or more,
+    linked by SimHash and, where that misses a pair, by prefix filtering. Of rows with equal id and text the one whose
+    other columns come first (as JSON) stays."""
+    classes = table(jaccard.classes(docs.select(_key(docs).alias("id"), "text")), "classes")
+    kept = _joined(docs, classes.select("component_id.*").distinct(), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest or classes.groupBy("id").count().where("count > 1").isEmpty():
+        return kept if rest else kept.dropDuplicates()
+    others = F.struct(*rest)
+    one = kept.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others, {"ignoreNullFields": "false"})).alias("others"))
+    return one.select("doc_id", "text", "others.*").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
