@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramloom.operators.access import Sampled, expand
 from gramloom.operators.grammar import Packed, with_starts
 from gramloom.plans.materialize import materialize
 
@@ -32,17 +33,17 @@ def expansions(p: Packed, most: int | None = None) -> DataFrame:
     return done
 
 
-def decompress(p: Packed) -> DataFrame:
-    """(str_id, hex) of every string that has bytes."""
-    return _joined(p.roots, "str_id", materialize(expansions(p), "expansions"))
+def decompress(s: Sampled) -> DataFrame:
+    """(str_id, hex) of every string that has bytes: from the strings down to short symbols, so no text of a longer
+    rule is ever spelled."""
+    return expand(s).select("str_id", F.hex("bytes").alias("hex"))
 
 
-def verify(p: Packed, strings: DataFrame) -> DataFrame:
+def verify(s: Sampled, strings: DataFrame) -> DataFrame:
     """One row: strings, those whose expansion is equal to their text, bytes of the expansions."""
-    want = strings.select("str_id", F.hex(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("want"))
-    got = decompress(p)
-    both = want.join(got, "str_id", "left").select("want", F.coalesce("hex", F.lit("")).alias("got"))
-    return both.agg(F.count("*").alias("n_strings"), F.sum(F.when(F.col("want") == F.col("got"), 1).otherwise(0)).cast("bigint").alias("n_equal"), F.sum(F.octet_length("got") / 2).cast("bigint").alias("n_bytes"))
+    want = strings.select(F.col("str_id").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("want"))
+    both = want.join(expand(s), F.col("id") == F.col("str_id"), "left").select("want", F.coalesce("bytes", F.lit(b"")).alias("got"))
+    return both.agg(F.count("*").alias("n_strings"), F.sum(F.when(F.col("want") == F.col("got"), 1).otherwise(0)).cast("bigint").alias("n_equal"), F.sum(F.octet_length("got")).cast("bigint").alias("n_bytes"))
 
 
 def parse_tree(p: Packed, depth: int | None = None) -> DataFrame:

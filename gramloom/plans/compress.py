@@ -30,7 +30,7 @@ def compress(collection: DataFrame, options: Options = Options()) -> grammar.Pac
     if options.simplify:
         p = grammar.simplify(p)
     if options.verify:
-        row = derive.verify(p, collection).first()
+        row = derive.verify(access.sample(p), collection).first()
         if row["n_strings"] != row["n_equal"]:
             raise ValueError(f"{row['n_strings'] - row['n_equal']} strings differ from what the grammar spells")
     return p
@@ -40,17 +40,14 @@ def compress_file(spark: SparkSession, text: str, output: str, options: Options
     """A text file, one string a line, to a stored grammar."""
     p = compress(strings.from_text(spark, text, split_bytes=options.split_bytes), options)
     storage.save_packed(p, output, simplified=options.simplify, random_access=options.random_access)
-    if options.random_access:
-        access.rule_samples(p).write.mode("overwrite").parquet(f"{output}/rule_samples")
-        access.string_samples(p).write.mode("overwrite").parquet(f"{output}/string_samples")
 
 
 def query_file(spark: SparkSession, stored: str, coordinates: list[str]) -> DataFrame:
-    """(query, hex) for "STR:START-END" coordinates on a stored grammar; bad ones raise an error."""
+    """(query, hex) for "STR:START-END" coordinates on a grammar stored with random access; bad ones raise an error."""
     given = spark.createDataFrame([(c,) for c in coordinates], "query string")
     parsed = strings.coordinates(given)
     bad = parsed.where("str_id is null or stop < start").first()
     if bad is not None:
         raise ValueError(f"not STR:START-END: {bad['query']}")
     q = parsed.select(parsed["query"].alias("qid"), "str_id", "start", "stop")
-    return access.access(storage.load_packed(spark, stored), q).withColumnRenamed("qid", "query")
+    return access.access(storage.load_samples(spark, stored), q).withColumnRenamed("qid", "query")

@@ -1,7 +1,8 @@
 """Lineage cuts and distributed running numbers.
 
 What is read more than once is written once, as Parquet in the folder that the session names in
-spark.checkpoint.dir (a temporary one only where that is unset, as in tests).
+spark.checkpoint.dir. Where that is unset a session on one machine gets a temporary folder; a cluster,
+whose executors would each write to their own, gets an error.
 """
 
 from __future__ import annotations
@@ -13,18 +14,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: dict[int, str] = {}
+_own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
-    return told or _own.setdefault(id(spark.sparkContext), tempfile.mkdtemp(prefix="gramloom-"))
+    if told:
+        return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if (app := spark.sparkContext.applicationId) not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="gramloom-")
+    return _own[app]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """df, written once and read back; its shuffle files go as soon as it is written."""
     spark = df.sparkSession
-    path = path or f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

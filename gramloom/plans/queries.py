@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from gramloom.operators import edit as E
 from gramloom.operators import grammar as G
 from gramloom.operators import merge as X
 from gramloom.operators import parse as P
-from gramloom.plans.materialize import materialize, scratch, with_running_sum
+from gramloom.plans.materialize import fresh_path, materialize, with_running_sum
 from gramloom.sources import storage
 from gramloom.sources import strings as S
 from gramloom.streaming import incremental
@@ -101,7 +100,9 @@ def _access(simple: bool, char: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = _coordinates(spark, sf_dir)
         p = G.run_length(G.pack(G.build(conversations(spark, sf_dir))))
-        return A.access(G.simplify(p) if simple else p, q.withColumn("stop", F.col("start")) if char else q)
+        path = fresh_path(spark, "stored")
+        storage.save_packed(G.simplify(p) if simple else p, path, simplified=simple, random_access=True)
+        return A.access(storage.load_samples(spark, path), q.withColumn("stop", F.col("start")) if char else q)
 
     return query
 
@@ -147,27 +148,27 @@ def _delete(spark: SparkSession, sf_dir: str) -> E.Edited:
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/incremental-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "incremental")
     conversations(spark, sf_dir).repartition(3, "str_id").write.parquet(f"{path}/source")
     incremental.build_stream(spark, f"{path}/source", "str_id bigint, text string", path)
     return _levels(incremental.load_state(spark, path).rules)
 
 
 def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stored")
     p = G.simplify(G.run_length(G.pack(G.build(conversations(spark, sf_dir)))))
     storage.save_packed(p, path, simplified=True, random_access=False)
     return storage.metadata(spark, path)
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stored")
     storage.save(G.build(conversations(spark, sf_dir)), path)
     return _levels(storage.load(spark, path).rules)
 
 
 def _lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = materialize(D.decompress(G.pack(G.build(conversations(spark, sf_dir)))), "texts")
+    t = materialize(D.decompress(A.sample(G.pack(G.build(conversations(spark, sf_dir))))), "texts")
     pairs = t.select(F.col("str_id").alias("a")).join(t.select((F.col("str_id") - 2).alias("a")), "a").select("a", (F.col("a") + 2).alias("b"))
     return D.lcp(pairs, t)
 
@@ -205,8 +206,8 @@ QUERIES: dict[str, Query] = {
     "strings_in_order": _on_plain(lambda p: p.roots.select("str_id", F.col("child").alias("sym_id")).orderBy("str_id")),
     "expansion_length": _on_rl(lambda p: p.sym.select("sym_id", "len")),
     "expand_symbol": _on_plain(D.expansions),
-    "decompress": _on_simple(D.decompress),
-    "verify_roundtrip": lambda spark, sf_dir: D.verify(G.run_length(G.pack(G.build(conversations(spark, sf_dir)))), conversations(spark, sf_dir)),
+    "decompress": _on_simple(lambda p: D.decompress(A.sample(p))),
+    "verify_roundtrip": lambda spark, sf_dir: D.verify(A.sample(G.run_length(G.pack(G.build(conversations(spark, sf_dir))))), conversations(spark, sf_dir)),
     "parse_tree": _on_plain(D.parse_tree),
     "ra_samples_rules": _on_rl(A.rule_samples),
     "ra_samples_strings": _on_simple(A.string_samples),
