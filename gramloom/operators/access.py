@@ -151,11 +151,12 @@ def _pieces(s: Sampled, first: DataFrame) -> DataFrame:
     made, levels = [], set()
 
     def add(nodes: DataFrame) -> None:
-        made.append(materialize(nodes, "nodes"))
-        levels.update(r["lvl"] for r in made[-1].where(f"one > {SHORT}").select("lvl").distinct().collect())
+        # todo: the level whose rules lead on, 0 for what is short
+        made.append(materialize(nodes.withColumn("todo", F.expr(f"if(one <= {SHORT}, 0, lvl)")), "nodes", by="todo"))
+        levels.update(r["todo"] for r in made[-1].select("todo").distinct().collect())
 
-    def of_all(condition: str) -> DataFrame:
-        parts = [m.where(condition) for m in made]
+    def of_all(level: int) -> DataFrame:
+        parts = [m.where(F.col("todo") == level) for m in made]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -164,10 +165,9 @@ def _pieces(s: Sampled, first: DataFrame) -> DataFrame:
     add(first)
     for lvl in s.heights:
         if lvl in levels:
-            here = of_all(f"lvl = {lvl} and one > {SHORT}")
             bodies = s.rules.where(F.col("lvl") == lvl).drop("lvl")
-            add(_covered(here.join(bodies, F.expr("sym = owner and start <= hi and start + size > lo"))))
-    leaves = of_all(f"one <= {SHORT}").join(s.texts.withColumnRenamed("sym_id", "id"), F.col("sym") == F.col("id"))
+            add(_covered(of_all(lvl).join(bodies, F.expr("sym = owner and start <= hi and start + size > lo"))))
+    leaves = of_all(0).join(s.texts.withColumnRenamed("sym_id", "id"), F.col("sym") == F.col("id"))
     whole = "repeat(cast(text as string), cast(hi div one - lo div one + 1 as int))"
     return leaves.select("qid", "out", F.expr(f"substring(cast({whole} as binary), cast(lo % one + 1 as int), cast(hi - lo + 1 as int))").alias("text"))
 

@@ -32,14 +32,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
-    """df, written once and read back; its shuffle files go as soon as it is written."""
+def materialize(df: DataFrame, name: str = "table", path: str | None = None, by: str | None = None) -> DataFrame:
+    """df, written once and read back; its shuffle files go as soon as it is written. `by`: an int column to partition by."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
