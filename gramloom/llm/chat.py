@@ -1,8 +1,12 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-A layout is known by the hash of its nested field paths (names only, in sorted order), so
-a table or record finds its mapping without a look at its values. Mappings are data: where
+A layout is known by the hash of its nested field paths (names only, in sorted order): a
+record's fingerprint selects its mapping, whatever its values are. Mappings are data: where
 the list of turns is, which fields hold role and text, or which field makes which turn.
+Paths that no mapping names are no part of a fingerprint, so further fields do no harm.
+Records of several layouts stand in one table, as columns that are null where a record has
+another layout (`canonical_rows`), or as JSON (`canonical_records`); what no mapping fits has
+null turns and keeps its fingerprint, for a report.
 
 Canonical turns, array<struct<role, text>>, are written as one string: a start marker, the
 role, a separator, the text, an end marker for each turn. Control strings inside roles and
@@ -14,8 +18,7 @@ Null texts and roles count as empty strings. Turns are ordered by turn, role, te
 and repeated rows have one order, whatever the input order; all are kept. A null id is a
 conversation of its own. An empty table gives no conversations, and a conversation without
 turns an empty string. A conversation is one string, so its size bounds a task: no other
-group is ever gathered. Extra columns of a table are no part of its fingerprint's mapping
-only if the caller selects what it maps; unknown layouts raise an error that lists their paths.
+group is ever gathered. A table whose own columns fit no mapping raises an error that lists its paths.
 """
 
 from __future__ import annotations
@@ -70,6 +73,22 @@ def fingerprint(paths: list[str]) -> str:
 
 
 BY_FINGERPRINT = {fingerprint(m["paths"]): m for m in MAPPINGS}
+#: Paths that some mapping names.
+KNOWN = sorted({p for m in MAPPINGS for p in m["paths"]})
+
+
+def fingerprint_of(present: dict[str, Column]) -> Column:
+    """The fingerprint of each row, from whether it has each of the known paths."""
+    there = F.array_compact(F.array(*[F.when(present[p], F.lit(p)) for p in sorted(present)]))
+    return F.substring(F.sha2(F.array_join(there, "\n").cast("binary"), 256), 1, 16)
+
+
+def _selected(layout: str, field: Callable[[dict], Callable[[str], Column]]) -> Column:
+    """The turns that the mapping of the fingerprint in column `layout` makes; null if there is none."""
+    out = F.lit(None).cast(TURNS)
+    for print_, m in BY_FINGERPRINT.items():
+        out = F.when(F.col(layout) == print_, _turns(m, field(m))).otherwise(out)
+    return out
 
 
 def _turns(mapping: dict, field: Callable[[str], Column]) -> Column:
@@ -89,46 +108,55 @@ def _turns(mapping: dict, field: Callable[[str], Column]) -> Column:
 
 
 def canonical_turns(df: DataFrame, id_column: str) -> DataFrame:
-    """(id, turns) of a table in one of the known layouts; all columns but the id are its layout."""
+    """(id, turns) of a table in one of the known layouts; a null list or field makes no turn."""
     rest = T.StructType([f for f in df.schema.fields if f.name != id_column])
-    mapping = BY_FINGERPRINT.get(fingerprint(paths_of(rest)))
+    mapping = BY_FINGERPRINT.get(fingerprint([p for p in paths_of(rest) if p in KNOWN]))
     if mapping is None:
         raise ValueError(f"no mapping for the paths {paths_of(rest)}")
     return df.select(F.col(id_column).alias("id"), _turns(mapping, F.col).alias("turns"))
 
 
+def canonical_rows(df: DataFrame, id_column: str) -> DataFrame:
+    """(id, layout, turns) of a table whose rows differ in layout: a row has the paths of the columns that aren't null in it."""
+    fields = {f.name: f for f in df.schema.fields if f.name != id_column}
+    present = {p: F.col(f"`{name}`").isNotNull() for name, f in fields.items() for p in paths_of(f.dataType, name) if p in KNOWN}
+    printed = df.select("*", fingerprint_of(present).alias("__layout"))
+    # a mapping can only be selected where the table has all of its columns
+    whole = lambda m: (lambda f: F.col(f"`{f}`")) if set(m["paths"]) <= set(present) else _nothing(m)
+    return printed.select(F.col(id_column).alias("id"), F.col("__layout").alias("layout"), _selected("__layout", whole).alias("turns"))
+
+
+def _nothing(mapping: dict) -> Callable[[str], Column]:
+    if "turns" in mapping:
+        _, role, text, _ = mapping["turns"]
+        return lambda f: F.lit(None).cast(f"array<struct<{role}:string,{text}:string>>")
+    return lambda f: F.lit(None).cast("string")
+
+
 def canonical_records(df: DataFrame, id_column: str, record: str) -> DataFrame:
     """(id, layout, turns) of JSON records whose layouts differ from row to row.
 
-    The field paths of a record are read off its own schema string, where type names are
-    dropped and names sorted already; records without a mapping (or that are no JSON) have
-    null turns and keep their layout's fingerprint, for a report. A record may have as many
-    bytes as Spark allows in a variant.
+    A record has a path if its object has the field, null or not; a[].b if a is a list of objects of which one has b.
+    What is no JSON object has no paths. A record may have as many bytes as Spark allows in a variant.
     """
-    shape = F.expr("schema_of_variant(doc)")
-    bare = F.regexp_replace(shape, r":\s*(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|BINARY|DECIMAL\(\d+,\s*\d+\))", "")
-    known = {}
-    for m in MAPPINGS:
-        known[_bare_shape(m)] = m
-    out = F.lit(None).cast(TURNS)
-    doc = lambda path, kind: F.expr(f"try_variant_get(doc, '$.{path}', '{kind}')")
-    for shape_of, m in known.items():
-        if "turns" in m:
-            name, role, text, _ = m["turns"]
-            read = lambda f, k=f"array<struct<{role}:string,{text}:string>>": doc(f, k)
-        else:
-            read = lambda f: doc(f, "string")
-        out = F.when(F.col("shape") == shape_of, _turns(m, read)).otherwise(out)
     parsed = df.select(F.col(id_column).alias("id"), F.expr(f"try_parse_json({record})").alias("doc"))
-    shaped = parsed.select("id", "doc", bare.alias("shape"))
-    return shaped.select("id", F.sha2(F.col("shape"), 256).alias("layout"), out.alias("turns"))
+    opened = parsed.select("*", F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("top"))
 
+    def has(path: str) -> Column:
+        listed, _, name = path.partition("[].")
+        if not name:
+            return F.map_contains_key("top", path)
+        return F.exists(F.expr(f"try_variant_get(doc, '$.{listed}', 'array<map<string,variant>>')"), lambda m: F.map_contains_key(m, name))
 
-def _bare_shape(mapping: dict) -> str:
-    if "turns" in mapping:
-        listed, *names, _ = mapping["turns"]
-        return f"OBJECT<{listed}: ARRAY<OBJECT<{', '.join(sorted(names))}>>>"
-    return f"OBJECT<{', '.join(sorted(f for _, f in mapping['fields']))}>"
+    def read(mapping: dict) -> Callable[[str], Column]:
+        kind = "string"
+        if "turns" in mapping:
+            _, role, text, _ = mapping["turns"]
+            kind = f"array<struct<{role}:string,{text}:string>>"
+        return lambda f: F.expr(f"try_variant_get(doc, '$.{f}', '{kind}')")
+
+    printed = opened.select("id", "doc", fingerprint_of({p: has(p) for p in KNOWN}).alias("layout"))
+    return printed.select("id", "layout", _selected("layout", read).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -180,14 +208,56 @@ def gather_messages(conversations: DataFrame) -> DataFrame:
         "conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content"))).alias("messages"))
 
 
+def _written(role: str, text: str, names: dict[str, str]) -> Callable[[Column], Column]:
+    """A message as a turn of a list layout."""
+
+    def turn(t: Column) -> Column:
+        name = t["role"]
+        for a, b in names.items():
+            name = F.when(t["role"] == a, F.lit(b)).otherwise(name)
+        return F.struct(name.alias(role), t["content"].alias(text))
+
+    return turn
+
+
+def spread_layouts(gathered: DataFrame, id_column: str) -> DataFrame:
+    """The `messages` of a table as records of many layouts, chosen by the hash of the id among those that hold a
+    conversation as it is: its roles must not be other names of roles in a list layout, and be the layout's own, in
+    order, in one of single fields."""
+    roles = F.transform("messages", lambda m: m["role"])
+    lists, singles = [m for m in MAPPINGS if "turns" in m], [m for m in MAPPINGS if "fields" in m]
+    fits = []
+    for i, m in enumerate(lists + singles):
+        if "turns" in m:
+            names = m["turns"][3]
+            fit = ~F.arrays_overlap("__roles", F.array(*[F.lit(n) for n in names])) if names else F.lit(True)
+        else:
+            fit = F.col("__roles") == F.array(*[F.lit(r) for r, _ in m["fields"]])
+        fits.append(F.when(fit, F.lit(i)))
+    able = gathered.withColumn("__roles", roles).withColumn("__able", F.array_compact(F.array(*fits)))
+    at = able.withColumn("__at", F.element_at("__able", (F.pmod(F.xxhash64(id_column), F.size("__able")) + 1).cast("int")))
+    columns: dict[str, Column] = {}
+    for i, m in enumerate(lists + singles):
+        chosen = F.col("__at") == i
+        if "turns" in m:
+            listed, role, text, names = m["turns"]
+            columns[listed] = F.when(chosen, F.transform("messages", _written(role, text, {b: a for a, b in reversed(list(names.items()))})))
+        else:
+            for k, (_, field) in enumerate(m["fields"]):
+                here = F.when(chosen, F.get("messages", F.lit(k))["content"])
+                columns[field] = F.coalesce(columns[field], here) if field in columns else here
+    return at.select(id_column, *[c.alias(name) for name, c in columns.items()])
+
+
 def op5_chat_formatting(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """Contract view: every conversation and conversation -1, read back from the formatted strings."""
+    """Contract view: every conversation and conversation -1, as records of many layouts that their fingerprints bring
+    into canonical turns, read back from the formatted strings."""
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(probe).alias("text"))
         for i, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
     rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(extra)
-    made = format_turns(canonical_turns(gather_messages(rows), "conv_id"))
+    made = format_turns(canonical_rows(spread_layouts(gather_messages(rows), "conv_id"), "conv_id"))
     back = made.select("id", "formatted", let(parse_turns(F.col("formatted")), lambda t: F.struct(
         F.size(t).cast("bigint").alias("n"), F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("all"))).alias("t"),
         masked_text(F.col("formatted"), F.col("mask")).alias("loss"))

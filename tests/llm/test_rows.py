@@ -107,7 +107,8 @@ def test_escapes(spark, parts):
 def test_layouts(spark):
     rows = [('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', [("user", "a"), ("assistant", "b")]), ('{"response":"r","prompt":"p"}', [("user", "p"), ("assistant", "r")]),
             ('{"instruction":"i","input":null,"output":"o"}', [("user", "i"), ("assistant", "o")]), ('{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":null}]}', [("user", "x"), ("assistant", "")]),
-            ("nope", None), (None, None), ('{"zzz":1}', None)]
+            ("nope", None), (None, None), ('{"zzz":1}', None), ('[1]', None), ('{"prompt":"p","response":"r","meta":{"role":1},"id":3}', [("user", "p"), ("assistant", "r")]),
+            ('{"messages":[{"role":"user","content":"a","extra":{"x":[1]}}],"n":null}', [("user", "a")]), ('{"prompt":"p","response":"r","text":"t"}', None)]
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id long, j string")
     got = {r.id: r for r in C.canonical_records(df, "id", "j").collect()}
     for i, (_, want) in enumerate(rows):
@@ -118,6 +119,17 @@ def test_layouts(spark):
         C.canonical_turns(spark.range(1).withColumn("odd", F.lit(1)), "id")
 
 
+def test_spread_layouts(spark):
+    """Every layout occurs, and each record comes back as it was, odd role names too."""
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "user", "assistant"], ["assistant"], ["human", "gpt"], ["bot", "user"], ["model", ""], ["odd\nrole"]]
+    rows = [(i, [(r, f"{i}.{k}") for k, r in enumerate(shapes[i % len(shapes)])]) for i in range(800)] + [(None, []), (None, [("user", "x")])]
+    df = spark.createDataFrame(rows, "conv_id long, messages array<struct<role:string,content:string>>")
+    got = C.canonical_rows(C.spread_layouts(df, "conv_id"), "conv_id").collect()
+    assert sorted((str(r.id), [tuple(t) for t in r.turns]) for r in got) == sorted((str(i), t) for i, t in rows)
+    assert {r.layout for r in got} == set(C.BY_FINGERPRINT)
+    assert C.fingerprint(["text"]) in C.BY_FINGERPRINT and C.canonical_rows(df.select("conv_id", F.lit(1).alias("odd")), "conv_id").where("turns is not null").isEmpty()
+
+
 # ---- mixing
 
 
