@@ -8,9 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gramloom import __version__
-from gramloom.operators import grammar
-from gramloom.plans.compress import Options, compress_file, query_file
-from gramloom.sources import storage, strings
+from gramloom.plans.compress import Options, compress_file, merge_files, query_file
+from gramloom.sources import storage
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -31,8 +30,8 @@ def main(argv: list[str] | None = None) -> None:
     a = sub.add_parser("acc", help="print substrings")
     a.add_argument("grammar")
     a.add_argument("coordinates", nargs="+")
-    j = sub.add_parser("mrg", help="build the grammar of several text files, merged by content")
-    j.add_argument("texts", nargs="+")
+    j = sub.add_parser("mrg", help="merge stored grammars")
+    j.add_argument("grammars", nargs="+")
     j.add_argument("-o", "--output-file", required=True)
     args = top.parse_args(argv)
     builder = SparkSession.builder.appName("gramloom")
@@ -49,13 +48,7 @@ def main(argv: list[str] | None = None) -> None:
         for row in query_file(spark, args.grammar, args.coordinates).select("query", F.unhex("hex").alias("bytes")).collect():
             print(f"{row['query']}\n{bytes(row['bytes']).decode('utf-8', 'replace')}")
     else:
-        whole, first = None, 0
-        for path in args.texts:
-            part = strings.from_text(spark, path)
-            g = grammar.build(part.withColumn("str_id", F.col("str_id") + first))
-            first += part.count()
-            whole = g if whole is None else grammar.merge(whole, g)
-        storage.save_packed(grammar.simplify(grammar.run_length(grammar.pack(whole))), args.output_file, simplified=True, random_access=False)
+        merge_files(spark, args.grammars, args.output_file)
 
 
 if __name__ == "__main__":

@@ -65,9 +65,10 @@ def parse_tree(p: Packed, depth: int | None = None) -> DataFrame:
 
 
 def lcp(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, lcp): bytes that two strings' expansions have in common at their beginnings; texts: (str_id, hex)."""
+    """(a, b, lcp, cmp): bytes that two strings' expansions have in common at their beginnings, and which one comes first
+    byte by byte (-1: a, 0: they are equal, 1: b); texts: (str_id, hex)."""
     x, y = texts.select(F.col("str_id").alias("a"), F.col("hex").alias("x")), texts.select(F.col("str_id").alias("b"), F.col("hex").alias("y"))
     # halves of the longest possible prefix, by equality of whole slices: a search over lengths, not over positions
     n = F.least(F.octet_length("x"), F.octet_length("y")) / 2
     step = "aggregate(sequence(0, 40), named_struct('lo', cast(0 as bigint), 'hi', cast(n as bigint)), (s, i) -> if(s.lo >= s.hi, s, if(substring(x, 1, cast(2 * ((s.lo + s.hi + 1) div 2) as int)) = substring(y, 1, cast(2 * ((s.lo + s.hi + 1) div 2) as int)), named_struct('lo', (s.lo + s.hi + 1) div 2, 'hi', s.hi), named_struct('lo', s.lo, 'hi', (s.lo + s.hi + 1) div 2 - 1))), s -> s.lo)"
-    return pairs.join(x, "a").join(y, "b").withColumn("n", n.cast("bigint")).select("a", "b", F.expr(step).alias("lcp"))
+    return pairs.join(x, "a").join(y, "b").withColumn("n", n.cast("bigint")).select("a", "b", F.expr(step).alias("lcp"), F.when(F.col("x") < F.col("y"), -1).when(F.col("x") == F.col("y"), 0).otherwise(1).alias("cmp"))

@@ -151,6 +151,17 @@ def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((16 * bounds).astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
+def slices(bounds: np.ndarray, most: int = 1 << 26) -> Iterator[tuple[int, int]]:
+    """Ranges (a, b) of phrases with at most so many children together: a column's offsets in bytes have 32 bits."""
+    a = 0
+    while a < len(bounds) - 1:
+        b = int(np.searchsorted(bounds, bounds[a] + most, side="right")) - 1
+        if b == a:
+            raise ValueError(f"a phrase of {int(bounds[a + 1] - bounds[a])} symbols is more than a row holds ({most})")
+        yield a, b
+        a = b
+
+
 def _digests(s: Symbols, which: np.ndarray) -> pa.Array:
     return _binary(s.digest[which], np.arange(len(which) + 1))
 
@@ -179,9 +190,11 @@ def build_rows(strings: DataFrame) -> DataFrame:
         for b, texts in _batches(batches):
             level, root = np.zeros(len(texts), np.int32), [None] * len(texts)
             for r in rounds(texts):
-                n = len(r.first)
                 at, bounds = _flat(r.start[r.first], r.size[r.first])
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, r.level, np.int32)), _digests(r.made, np.arange(n)), _binary(r.symbols.digest[r.ids[at]], bounds), pa.array(r.made.length)], names)
+                for i, j in slices(bounds):
+                    part = bounds[i : j + 1]
+                    kids = r.symbols.digest[r.ids[at[part[0] : part[-1]]]]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(j - i, pa.int64()), pa.array(np.full(j - i, r.level, np.int32)), _digests(r.made, np.arange(i, j)), _binary(kids, part - part[0]), pa.array(r.made.length[i:j])], names)
                 alone = np.flatnonzero(np.bincount(r.string, minlength=len(texts))[r.string] == 1)
                 for s, k in zip(r.string[alone].tolist(), r.number[alone].tolist(), strict=True):
                     level[s], root[s] = r.level, r.made.digest[k].tobytes()
@@ -200,9 +213,10 @@ def parse_rows(strings: DataFrame, *, least: int = 1, most: int | None = None) -
                     base = r.start[np.flatnonzero(r.pos == 0)]
                     firsts = np.flatnonzero(r.pos == 0)
                     inside = r.start - np.repeat(base, np.diff(np.concatenate([firsts, [len(r.pos)]])))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(r.string)), pa.array(np.full(len(r.pos), r.level, np.int32)), pa.array(r.pos), _digests(r.made, r.number), pa.array(inside), pa.array(r.size)],
-                        ["str_id", "lvl", "pos", "fp", "start", "size"])
+                    for i, j in slices(np.arange(len(r.pos) + 1)):
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array(r.string[i:j])), pa.array(np.full(j - i, r.level, np.int32)), pa.array(r.pos[i:j]), _digests(r.made, r.number[i:j]), pa.array(inside[i:j]), pa.array(r.size[i:j])],
+                            ["str_id", "lvl", "pos", "fp", "start", "size"])
 
     return strings.select(F.col("str_id").cast("bigint"), "text").mapInArrow(run, "str_id bigint, lvl int, pos bigint, fp binary, start bigint, size bigint")
 

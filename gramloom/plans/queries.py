@@ -167,6 +167,16 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(storage.load(spark, path).rules)
 
 
+def _merged(a: G.Grammar, b: G.Grammar) -> DataFrame:
+    """Both are stored and read back before they are merged."""
+    spark, back = a.rules.sparkSession, []
+    for g in (a, b):
+        path = fresh_path(spark, "half")
+        storage.save(g, path)
+        back.append(storage.load(spark, path))
+    return G.merge(*back).rules.select("lvl", _spelled("fp"), _spelled("rhs"))
+
+
 def _lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = materialize(D.decompress(A.sample(G.pack(G.build(conversations(spark, sf_dir))))), "texts")
     pairs = t.select(F.col("str_id").alias("a")).join(t.select((F.col("str_id") - 2).alias("a")), "a").select("a", (F.col("a") + 2).alias("b"))
@@ -228,7 +238,7 @@ QUERIES: dict[str, Query] = {
     "known_rules": _on_halves(lambda a, b: X.known_rules(a, b).select("lvl", _spelled("fp"))),
     "new_rules": _on_halves(lambda a, b: X.new_rules(a, b).select("lvl", _spelled("fp"))),
     "merge_marks": _on_halves(lambda a, b: X.marks(a, b).groupBy("lvl", "mark").agg(F.count("*").alias("n"))),
-    "merge_grammars": _on_halves(lambda a, b: G.merge(a, b).rules.select("lvl", _spelled("fp"), _spelled("rhs"))),
+    "merge_grammars": _on_halves(_merged),
     "merge_strings": _on_halves(lambda a, b: G.merge(a, b).strings.where("fp is not null").select("str_id", "lvl", _spelled("fp"))),
     "incremental_build": _incremental,
     "fp_placement": _on_halves(lambda a, b: X.placement(a, b).select("lvl", _spelled("fp"), "place")),

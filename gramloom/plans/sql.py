@@ -85,7 +85,7 @@ _QUERIES = f"select id, length(h) // 2 as n, h, length(h) // 8 as a, length(h) /
 B = base()
 ORACLES: dict[str, str] = {
     "scan_strings": f"select id as str_id, strlen(text)::bigint as n_bytes, md5(text) as digest from ({CONVERSATIONS})",
-    "collection_stats": f"select count(*) as n_strings, sum(strlen(text) + 1)::bigint as n_bytes, (max(strlen(text)) + 1)::bigint as longest, (min(strlen(text)) + 1)::bigint as shortest, count(*) filter (strlen(coalesce(text, '')) = 0) as n_empty from ({CONVERSATIONS})",
+    "collection_stats": f"select count(*) as n_strings, sum(strlen(text) + 1)::bigint as n_bytes, (max(strlen(text)) + 1)::bigint as longest, (min(strlen(text)) + 1)::bigint as shortest, count(*) filter (strlen(coalesce(text, '')) = 0) as n_empty, any_value(alphabet) as alphabet, any_value(least_byte) as least_byte, any_value(greatest_byte) as greatest_byte, any_value(n_separators) as n_separators from ({CONVERSATIONS}), (select count(distinct v) as alphabet, min(v) as least_byte, max(v) as greatest_byte, count(*) filter (v = 10) as n_separators from (select ('0x' || substr(h, (2 * p - 1)::int, 2))::int as v from (select h, unnest(range(1, length(h) // 2 + 1)) as p from (select hex(encode(text)) as h from ({CONVERSATIONS})))))",
     "byte_histogram": "select ('0x' || s)::int as byte, count(*) as n from (select substr(h, (2 * p - 1)::int, 2) as s from (select h, unnest(range(1, length(h) // 2 + 1)) as p from (select hex(encode(text)) as h from documents))) group by s",
     "string_offsets": f"select id as str_id, (sum(strlen(text) + 1) over (order by id) - strlen(text) - 1)::bigint as start, (strlen(text) + 1)::bigint as size from ({CONVERSATIONS})",
     "byte_fingerprints": "select i as byte, md5(printf('%02X', i)) as fp from range(256) t(i)",
@@ -157,7 +157,7 @@ select sum(((length(bin(i)) + 7) // 8 + length(bin(i)) + 7) // 8 * freq)::bigint
     "delete_range_stats": f"{base(EDITED, 'h')} select lvl, count(*) as n_rules, sum(len(kids))::bigint as n_symbols from rules group by lvl",
     "lcp_pairs": f"""with t as (select id, hex(encode(text)) as h from ({CONVERSATIONS})), p as (select x.id as a, y.id as b, x.h as x, y.h as y from t x join t y on y.id = x.id + 2),
 k as (select a, k from (select a, x, y, unnest(range(1, (least(length(x), length(y)) // 2 + 1)::bigint)) as k from p) where substr(x, 1, (2 * k)::int) = substr(y, 1, (2 * k)::int))
-select p.a, p.b, coalesce(m, 0)::bigint as lcp from p left join (select a, max(k) as m from k group by a) k on k.a = p.a""",
+select p.a, p.b, coalesce(m, 0)::bigint as lcp, case when x < y then -1 when x = y then 0 else 1 end as cmp from p left join (select a, max(k) as m from k group by a) k on k.a = p.a""",
     "grammar_meta": f"{B}{SIMPLE} select *, true as has_rl, true as simplified, false as has_ra from ({SIMPLE_SIZES})",
     "stored_rules": f"{B} select lvl, count(*) as n_rules, sum(len(kids))::bigint as n_symbols from rules group by lvl",
 }

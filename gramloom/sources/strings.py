@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramloom.operators.parse import byte_counts
 from gramloom.plans.materialize import with_row_index, with_running_sum
 
 
 def from_text(spark: SparkSession, path: str, *, split_bytes: int | None = None) -> DataFrame:
     """One string a line, in order of file and line; the separator is no part of a string. Files are read in
     splits of whole lines; `split_bytes` is their size."""
-    reader = spark.read
+    option = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(option)
     if split_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
-    lines = reader.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    numbered = lines.withColumn("line", F.monotonically_increasing_id())
-    return with_row_index(numbered, ["file", "block", "line"], "str_id").select("str_id", "text")
+        spark.conf.set(option, str(split_bytes))
+    try:
+        lines = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        numbered = lines.withColumn("line", F.monotonically_increasing_id())
+        # numbering writes the lines, so the splits are done with when it returns
+        return with_row_index(numbered, ["file", "block", "line"], "str_id").select("str_id", "text")
+    finally:
+        spark.conf.set(option, before)
 
 
 def from_table(df: DataFrame, key: str | list[str], text: str | Column = "text") -> DataFrame:
@@ -27,12 +33,17 @@ def from_table(df: DataFrame, key: str | list[str], text: str | Column = "text")
     return with_row_index(df.select(*key, value.alias("text")), key, "str_id").select("str_id", "text")
 
 
-def profile(strings: DataFrame) -> DataFrame:
-    """One row: strings, bytes (a separator each), longest and shortest, empty ones."""
+def profile(strings: DataFrame, separator: int = 10) -> DataFrame:
+    """One row: strings, bytes (a separator each), longest and shortest, empty ones; different bytes, the least and the
+    greatest one, and how often the separator stands inside a string."""
     size = F.octet_length("text")
-    return strings.agg(
+    sizes = strings.agg(
         F.count("*").alias("n_strings"), F.coalesce(F.sum(size + 1), F.lit(0)).cast("bigint").alias("n_bytes"), (F.max(size) + 1).cast("bigint").alias("longest"), (F.min(size) + 1).cast("bigint").alias("shortest"),
         F.sum(F.when(F.coalesce(size, F.lit(0)) == 0, 1).otherwise(0)).cast("bigint").alias("n_empty"))
+    symbols = byte_counts(strings).agg(
+        F.count("*").alias("alphabet"), F.min("byte").alias("least_byte"), F.max("byte").alias("greatest_byte"),
+        F.coalesce(F.sum(F.when(F.col("byte") == separator, F.col("n"))), F.lit(0)).cast("bigint").alias("n_separators"))
+    return sizes.join(symbols, F.lit(True))  # each is one row of sums
 
 
 def offsets(strings: DataFrame) -> DataFrame:

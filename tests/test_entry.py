@@ -12,7 +12,7 @@ from gramloom.plans import sql
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 FAST = ["scan_strings", "collection_stats", "string_offsets", "symbol_runs", "parse_round1", "level_rules", "string_heights", "assign_ids", "grammar_stats", "rl_rewrite", "simplified_stats", "access_range", "parse_coords",
-        "merge_marks", "fp_placement", "incremental_build", "delete_range", "bit_widths", "vbyte_roundtrip", "h0_entropy", "report_space"]
+        "merge_marks", "merge_grammars", "access_char", "decompress", "verify_roundtrip", "lcp_pairs", "fp_placement", "incremental_build", "delete_range", "bit_widths", "vbyte_roundtrip", "h0_entropy", "report_space"]
 
 
 def test_every_query_has_sql():

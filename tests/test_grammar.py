@@ -120,6 +120,15 @@ def test_files(spark, tmp_path):
     assert got == {"0:0-4": "first", "1:7-10": "line", "3:5-99": "line"}
     with pytest.raises(ValueError):
         C.query_file(spark, str(tmp_path / "out"), ["0:5"])
+    # stored grammars merge, and what is merged merges again
+    (tmp_path / "more.txt").write_text("last line\n\nfirst\n")
+    C.compress_file(spark, str(tmp_path / "more.txt"), str(tmp_path / "more"), C.Options(split_bytes=1 << 20))
+    C.merge_files(spark, [str(tmp_path / "out"), str(tmp_path / "more")], str(tmp_path / "two"))
+    C.merge_files(spark, [str(tmp_path / "two"), str(tmp_path / "more")], str(tmp_path / "three"), C.Options(random_access=True))
+    with pytest.raises(ValueError):
+        C.query_file(spark, str(tmp_path / "two"), ["0:0-4"])
+    asked = {"0:0-4": "first", "4:0-8": "last line", "6:1-99": "irst", "7:5-5": "l", "9:0-0": "f"}
+    assert {r["query"]: bytes.fromhex(r["hex"]).decode() for r in C.query_file(spark, str(tmp_path / "three"), list(asked)).collect()} == asked
 
 
 def test_offsets(strings):

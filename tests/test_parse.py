@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,3 +50,11 @@ def test_batches_do_not_change_rules(spark):
     one, many = (df.coalesce(1), df.repartition(7))
     rules = lambda d: {tuple(map(bytes, r)) for r in P.build_rows(d).where("rhs is not null").select("fp", "rhs").collect()}
     assert rules(one) == rules(many)
+
+
+def test_slices():
+    bounds = np.array([0, 3, 5, 6, 10, 14])
+    assert list(P.slices(bounds, 5)) == [(0, 2), (2, 4), (4, 5)]
+    assert list(P.slices(np.array([0]))) == []
+    with pytest.raises(ValueError):
+        list(P.slices(bounds, 3))
