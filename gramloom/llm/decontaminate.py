@@ -1,19 +1,24 @@
 """Benchmark decontamination by winnowing.
 
-Words are hashed, k-grams of words are hashed again, and of every window of two
-neighbouring k-grams the one with the least hash is kept (both, if they are equal), on
-both sides. With spans of k + 1 words any span that a document shares with an item holds
-the same kept k-gram at the same offset, so a join on kept k-grams misses none. A hit is
-then extended: the k-grams before and after it are compared, and where one of them is
-equal too the k + 1 words of the span are marked. Items shorter than a span are one span
-of their own length, and the documents' grams of those lengths join in the same way.
+Words are hashed, and k-grams of words are hashed again (k is half a span). Of every window of as
+many neighbouring k-grams as a span holds, the ones with the least hash are kept, on both sides: so
+any span that a document shares with an item holds the same kept k-gram at the same offset, and
+a join on kept k-grams misses none. With spans of ten words k is 5, a window is six k-grams,
+and two of seven are kept. A hit is then extended: each span that the k-gram lies in is told by the
+hashes of its two k-grams, and looked up among the spans of the items. Items shorter than a span are
+one span of their own length, and the documents' grams of those lengths join in the same way.
+
+The items are summed up before they meet the documents: kept grams and spans are distinct numbers,
+and spans that are in the same items share a class. So a gram that many items share doubles nothing;
+what is written for each document is its spans and its classes, and then its items.
 
 Only built-in expressions; one pass over the texts; nothing but kept grams meets the
 join. The benchmark side is broadcast where it is counted to be small.
 
 Null and empty texts have no words. Null ids are ids like any other (an item without id
 counts in n_items, and stands as empty string in the list). Repeated rows each get a
-result of their own. Without items nothing is hit. Other columns are ignored.
+result of their own. Without items nothing is hit. Other columns are ignored. A text of any
+length is one row, and each of its kept grams another.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm.common import ALNUM_GAP, ascii_lower, let
+from gramloom.llm.common import ALNUM_GAP, ascii_lower, let, table
 
 SPAN = 10
-#: Kept grams of the benchmark up to which they are broadcast (about 100 bytes each); beyond, both sides are shuffled.
+#: Grams, or spans, of the benchmark up to which they are broadcast (one to three numbers each); beyond, both sides are shuffled.
 BROADCAST_GRAMS = 200_000
 
 
@@ -47,51 +52,90 @@ def grams(tokens: Column, k: int, then: Callable[[Column], Column]) -> Column:
     return let(F.transform(tokens, lambda x: F.xxhash64(x)) if k == 1 else tokens, lambda a: wider(a, 1))
 
 
-def _entry(pos: Column, length: int, gram: Column, before: Column, after: Column) -> Column:
-    return F.struct(pos.alias("pos"), F.lit(length).alias("len"), gram.alias("gram"), before.alias("before"), after.alias("after"))
+def spans(g: Column, span: int) -> Column:
+    """The hash of each span: its first and its last k-gram, which cover it."""
+    k = (span + 1) // 2
+    return F.transform(F.slice(g, 1, F.greatest(F.size(g) - (span - k), F.lit(0))), lambda x, i: F.xxhash64(x, F.get(g, i + (span - k))))
+
+
+def _entry(pos: Column, length: int, gram: Column, first: Column, within: Column) -> Column:
+    return F.struct(pos.alias("pos"), F.lit(length).alias("len"), gram.alias("gram"), first.alias("first"), within.alias("within"))
 
 
 def winnowed(tokens: Column, span: int) -> Column:
-    """array<struct<pos, len, gram, before, after>>: the kept (span-1)-grams with their neighbours; null for the others."""
-    return grams(tokens, span - 1, lambda g: F.transform(g, lambda x, i: F.when(
-        (x <= F.get(g, i + 1)) | (x <= F.get(g, i - 1)), _entry(i, span, x, F.get(g, i - 1), F.get(g, i + 1)))))
+    """array<struct<pos, len, gram, first, within>>: the kept k-grams, where the first span with each begins, and
+    the hashes of the spans with it; null for the others."""
+    k = (span + 1) // 2
+    w = span - k + 1
+
+    def over(a: Column, pick: Callable[..., Column]) -> Column:
+        return F.transform(a, lambda x, i: pick(x, *[F.get(a, i + j) for j in range(1, w)])) if w > 1 else a
+
+    def kept(g: Column) -> Column:
+        least = F.slice(over(g, F.least), 1, F.greatest(F.size(g) - (w - 1), F.lit(0)))
+        # a gram is the least of some window that holds it if the greatest of their least ones isn't less
+        padded = let(least, lambda m: F.concat(F.array_repeat(F.lit(None).cast("bigint"), w - 1), m))
+        tops = let(padded, lambda m: over(m, F.greatest))
+        return let(F.struct(tops.alias("top"), spans(g, span).alias("t")), lambda s: F.transform(g, lambda x, i: F.when(
+            x <= F.get(s["top"], i), let(F.greatest(i - (w - 1), F.lit(0)), lambda at: _entry(i, span, x, at, F.slice(s["t"], at + 1, i - at + 1))))))
+
+    return grams(tokens, k, kept)
 
 
 def own_spans(tokens: Column, n: int) -> Column:
-    """Each n-gram as a span of its own, without neighbours."""
-    none = F.lit(None).cast("bigint")
-    return grams(tokens, n, lambda g: F.transform(g, lambda x, i: _entry(i, n, x, none, none)))
+    """Each n-gram as a span of its own."""
+    return grams(tokens, n, lambda g: F.transform(_short(g, n), lambda x, i: _entry(i, n, x, i, F.array(x))))
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, *, span: int = SPAN) -> DataFrame:
-    """One row per row of documents: uid, doc_id, n_words, hits (sorted array<struct<pos, len>>,
-    distinct), items (sorted array<string>, distinct). uid tells repeated rows apart."""
+def _short(g: Column, n: int) -> Column:
+    """Hashes that hold the length as well: a repeated word gives equal grams of two lengths."""
+    return F.transform(g, lambda x: F.xxhash64(x, F.lit(n)))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Rows of one to three numbers: broadcast if they are counted to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GRAMS else df.hint("shuffle_merge")
+
+
+def item_tables(benchmark: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """(grams: gram), (spans: t, c1, c2), (items: c1, c2, item), lengths of short items. c1, c2 is the class of the
+    items that have the span: two sums of their hashes without carry."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w"))
     lengths = sorted(r["n"] for r in items.select(F.size("w").alias("n")).where(F.col("n").between(1, span - 1)).distinct().collect())
-    own = F.when(F.size("w") >= span, winnowed(F.col("w"), span))
+    own, at = F.when(F.size("w") >= span, winnowed(F.col("w"), span)), F.when(F.size("w") >= span, grams(F.col("w"), (span + 1) // 2, lambda g: spans(g, span)))
     for n in lengths:
         own = own.when(F.size("w") == n, own_spans(F.col("w"), n))
-    kept = items.select("item", F.explode(own).alias("e")).where("e is not null").select(
-        "item", F.col("e.len").alias("item_len"), F.col("e.gram").alias("gram"), F.col("e.before").alias("item_before"), F.col("e.after").alias("item_after")).distinct()
-    kept = F.broadcast(kept) if kept.count() <= BROADCAST_GRAMS else kept.hint("shuffle_merge")
+        at = at.when(F.size("w") == n, grams(F.col("w"), n, lambda g: _short(g, n)))
+    kept = table(items.select(F.explode(own).alias("e")).where("e is not null").select("e.gram").distinct(), "grams")
+    held = table(items.select("item", F.explode(at).alias("t")).distinct(), "spans")
+    xor = lambda salt: F.bit_xor(F.xxhash64("item", F.lit(salt)))
+    classes = table(held.groupBy("t").agg(xor(1).alias("c1"), xor(2).alias("c2")), "classes")
+    return kept, classes, held.join(classes, "t").select("c1", "c2", "item").distinct(), lengths
 
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, *, span: int = SPAN) -> DataFrame:
+    """One row per row of documents: uid, doc_id, n_words, hits (sorted array<struct<pos, len>>,
+    distinct), items (sorted array<string>, distinct). uid tells repeated rows apart."""
+    kept, classes, members, lengths = item_tables(benchmark, span)
     docs = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), words(F.col("text")).alias("w"))
-    none = F.lit(None).cast("bigint")
     rows = docs.select("uid", let(F.col("w"), lambda w: F.concat(
-        F.array(_entry(F.size(w), 0, F.lit(0).cast("bigint"), none, none)),  # tells n_words, also where nothing is hit
+        F.array(_entry(F.size(w), 0, F.lit(0).cast("bigint"), F.lit(0), F.array().cast("array<bigint>"))),  # tells n_words, also where nothing is hit
         winnowed(w, span), *[own_spans(w, n) for n in lengths])).alias("es"), "doc_id")
     # explode_outer: for explode() the optimizer adds a filter on the array, which computes it a second time
     rows = rows.select("uid", F.explode_outer("es").alias("e"), "doc_id").where("e is not null").select("uid", "doc_id", "e.*")
-    at = lambda c: F.struct(c.alias("pos"), F.col("len").alias("len"))
-    hit = F.array_compact(F.array(
-        F.when((F.col("len") < span) | (F.col("after") == F.col("item_after")), at(F.col("pos"))),
-        F.when(F.col("before") == F.col("item_before"), at(F.col("pos") - 1))))
-    # gram alone is the key: a single bigint has the quickest lookup, and hashes of grams of two lengths won't meet
-    both = rows.join(kept, "gram", "left").where("len = 0 or item_len = len").select(
-        "uid", "doc_id", F.when(F.col("len") == 0, F.col("pos")).alias("n_words"), "item", F.explode_outer(F.when(F.col("len") > 0, hit)).alias("hit"))
-    return both.where("n_words is not null or hit is not null").groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set("hit")).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
+    # rows that are no grams get keys of their own, so a shuffle spreads them
+    rows = rows.withColumn("gram", F.when(F.col("len") > 0, F.col("gram")).otherwise(F.xxhash64("uid")))
+    near = rows.join(_few(kept.withColumn("known", F.lit(True))), "gram", "left").where("known or len = 0")
+    near = near.select("uid", "doc_id", "pos", "len", "first", F.posexplode_outer("within").alias("off", "t"))
+    near = near.withColumn("t", F.when(F.col("len") > 0, F.col("t")).otherwise(F.xxhash64("uid")))
+    found = near.join(_few(classes), "t", "left").where("len = 0 or c1 is not null")
+    hit = F.struct((F.col("first") + F.col("off")).alias("pos"), F.col("len").alias("len"))
+    whole = table(found.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("len") == 0, F.col("pos"))).alias("n_words"),
+        F.sort_array(F.collect_set(F.when(F.col("len") > 0, hit))).alias("hits"), F.collect_set(F.when(F.col("len") > 0, F.struct("c1", "c2"))).alias("classes")), "hits")
+    items = whole.where(F.size("classes") > 0).select(F.col("uid").alias("u"), F.explode("classes").alias("c")).select("u", "c.*").join(members, ["c1", "c2"])
+    items = items.groupBy("u").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return whole.join(items, F.col("uid") == F.col("u"), "left").select("uid", "doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def covered(hits: Column) -> Column:

@@ -137,6 +137,17 @@ def test_decontamination(spark, monkeypatch, small):
     assert D.op3_benchmark_decontamination(spark, frame(spark, rows).limit(0), bench).isEmpty()
 
 
+def test_shared_passages(spark):
+    """Passages of many items in many documents, borders of every span, repeated words: no span is lost, no gram multiplies."""
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    word = lambda: rnd.choice(["a", "b", "c"])
+    items = [(i, " ".join([word() for _ in range(3)] + passage[: 10 + i % 20])) for i in range(60)] + [(100 + n, " ".join(["a"] * n)) for n in range(1, 10, 3)]
+    rows = [(i, " ".join([word() for _ in range(9)] + passage[i % 25 : i % 25 + i % 17] + [word() for _ in range(9)])) for i in range(80)] + [(200, "a " * 3000 + " ".join(passage))]
+    got = D.op3_benchmark_decontamination(spark, frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_hits(rows, items), key=key)
+
+
 def brute_repeats(rows):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     seen = {}
