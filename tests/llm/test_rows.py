@@ -191,6 +191,25 @@ def test_shards_are_disjoint(spark):
     assert taken.groupBy("uid", "epoch").count().where("count > 1").isEmpty() and taken.select("shard").distinct().count() == 4
 
 
+def test_many_sources(spark):
+    """100,000 sources: each quota is met, shards are of equal size, and no row of the tree holds more than about a root of them."""
+    counts = spark.range(100_000).select(F.format_string("s%06d", "id").alias("source"), (F.col("id") % 7).alias("n"))
+    parts = M.split_sources(counts, 4, 3).cache()
+    assert parts.count() == 400_000 and parts.groupBy("s").agg(F.sum("n").alias("m")).join(counts, F.col("s") == F.col("source")).where("m != n").isEmpty()
+    sizes = [r.n for r in parts.groupBy("shard").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    parts.unpersist()
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.format_string("s%06d", "id").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    total = M.op6_source_mixing(spark, docs).agg(F.sum("taken"), F.sum("target"), F.count("*")).first()
+    assert total[2] == 100_000 and abs(total[1] - 450_000) < 1e-3 and 450_000 - 100_000 < total[0] <= 450_000
+
+
+def test_places_of_a_tree(spark):
+    rows = [(0, ["a", "b"], [6, 4], [1, 0, 9]), (1, ["c", None], [5, 0], [0, 5, 0])]
+    got = M.split_tree(spark.createDataFrame(rows, "part long, names array<string>, quota array<bigint>, places array<bigint>"), 3, 1).collect()
+    assert {(r.part, r.shard): sum(r.quota) for r in got} == {(p, i): n for p, _, _, places in rows for i, n in enumerate(places)}
+
+
 # ---- fingerprints
 
 
