@@ -17,6 +17,8 @@ records with equal identifiers. An empty table gives no records. Payloads are ta
 
 from __future__ import annotations
 
+import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,32 +122,30 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Rows of the records of a WARC file, gzipped (one member or many) or not."""
-    import gzip
-
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """Rows of the records of a WARC file, gzipped (one member or many) or not, one record in memory at a time. A
+    record whose Content-Length is no number has an empty block; reading goes on at the next line that begins one."""
     names = {b"warc-type": "warc_type", b"warc-record-id": "record_id", b"warc-refers-to": "refers_to", b"warc-target-uri": "target_uri", b"warc-date": "date", b"content-type": "content_type", b"warc-payload-digest": "payload_digest", b"warc-block-digest": "block_digest"}
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+    raw = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         row, rest, size = dict.fromkeys(names.values()), [], 0
-        for x in data[at:end].split(b"\r\n")[1:]:
+        while (x := stream.readline()).strip():
             name, _, value = x.partition(b":")
             if name.strip().lower() == b"content-length":
-                size = int(value)
-            elif (key := names.get(name.strip().lower())):
+                size = int(value) if value.strip().isdigit() else 0
+            elif key := names.get(name.strip().lower()):
                 row[key] = value.strip().decode("utf-8", "replace")
             else:
-                rest.append(x.decode("utf-8", "replace") + CRLF)
-        at = end + 4 + size
-        yield row | {"fields": "".join(rest), "block": data[end + 4 : at]}
+                rest.append(x.rstrip(b"\r\n").decode("utf-8", "replace") + CRLF)
+        if not x:
+            return
+        yield row | {"fields": "".join(rest), "block": stream.read(size)}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under a path; a file is read by one task."""
+    """Records of the WARC files under a path; a file is read by one task, which holds it as it is stored and unpacks record by record."""
     kind = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.string()) for c in RECORD.split(", ")])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

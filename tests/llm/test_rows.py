@@ -67,6 +67,10 @@ def test_parse_records():
         rows = list(W.parse_records(data))
         assert len(rows) == 2 and rows[1]["block"] == b"a\r\n\r\n" and rows[0]["fields"] == "X-Other: 1\r\n" and rows[0]["record_id"] == "<urn:uuid:1>"
     assert list(W.parse_records(b"")) == [] and list(W.parse_records(b"WARC/1.0\r\ncut")) == []
+    bad = one.replace(b"Content-Length: 5", b"Content-Length: five")
+    rows = list(W.parse_records(bad + one))
+    assert [r["block"] for r in rows] == [b"", b"a\r\n\r\n"]
+    assert list(W.parse_records(one[:-9]))[0]["block"] == b""
 
 
 def test_latin(spark):
