@@ -3,13 +3,14 @@ for array expressions, lineage cuts in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramloom.plans.materialize import scratch
+
 #: Word patterns of the contracts.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -58,12 +59,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, the checkpoint folder of the context, or on a local
+    master (tests) a temporary one; a cluster without any gets an error."""
     ctx = spark.sparkContext._jsc.sc()
-    told = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.conf.get("spark.checkpoint.dir", None) is None and ctx.getCheckpointDir().isDefined():
+        return ctx.getCheckpointDir().get()
+    path = scratch(spark)
     if ctx.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(told or tempfile.mkdtemp(prefix="gramloom-"))
-    return told or ctx.getCheckpointDir().get()
+        spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
