@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,16 +167,20 @@ def _digests(s: Symbols, which: np.ndarray) -> pa.Array:
     return _binary(s.digest[which], np.arange(len(which) + 1))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], bytes_at_once: int = 1 << 24) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches with texts of about so many bytes, and the texts."""
+#: Bytes of text that are parsed at once: a round holds about 80 bytes of arrays for each, in every Python worker.
+AT_ONCE = 1 << 20
+
+
+def _batches(batches: Iterator[pa.RecordBatch], bytes_at_once: int = AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches with texts of about so many bytes (a longer string is a slice's last), and the texts."""
     for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        a = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= bytes_at_once or i == len(texts) - 1:
-                yield b.slice(a, i + 1 - a), texts[a : i + 1]
-                a, size = i + 1, 0
+        data = b.column(1).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = done = 0
+        while a < len(ends):
+            z = min(int(np.searchsorted(ends, done + bytes_at_once)) + 1, len(ends))
+            yield b.slice(a, z - a), data.slice(a, z - a).to_pylist()
+            a, done = z, int(ends[z - 1])
 
 
 BUILT = "str_id bigint, lvl int, fp binary, rhs binary, len bigint"
@@ -207,7 +212,7 @@ def parse_rows(strings: DataFrame, *, least: int = 1, most: int | None = None) -
     """(str_id, lvl, pos, fp, start, size): every phrase of every round from `least` to `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _batches(batches, 1 << 22):
+        for b, texts in _batches(batches):
             for r in rounds(texts, most=most):
                 if r.level >= least:
                     base = r.start[np.flatnonzero(r.pos == 0)]
@@ -225,7 +230,7 @@ def run_rows(strings: DataFrame) -> DataFrame:
     """(str_id, run, byte, size): the maximal runs of equal bytes of every string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in _batches(batches, 1 << 22):
+        for b, texts in _batches(batches):
             kept = [i for i, t in enumerate(texts) if t]
             if not kept:
                 continue

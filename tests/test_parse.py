@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,3 +59,12 @@ def test_slices():
     assert list(P.slices(np.array([0]))) == []
     with pytest.raises(ValueError):
         list(P.slices(bounds, 3))
+
+
+def test_a_worker_holds_a_bounded_part_of_a_batch():
+    texts = [None, "", *["x" * 5000] * 2000, "y" * (3 * P.AT_ONCE), "z", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["str_id", "text"])
+    parts = list(P._batches(iter([batch, batch.slice(0, 0)])))
+    assert [t for _, part in parts for t in part] == [None if t is None else t.encode() for t in texts]
+    assert [i for b, _ in parts for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(len(t or b"") for t in part[:-1]) < P.AT_ONCE <= 1 << 20 for _, part in parts)
