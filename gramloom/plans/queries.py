@@ -147,10 +147,17 @@ def _delete(spark: SparkSession, sf_dir: str) -> E.Edited:
     return E.delete_ranges(G.build(s), s, _ranges(s))
 
 
+#: Bytes of text in a file that the stream reads.
+FILE_BYTES = 1 << 25
+
+
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "incremental")
-    conversations(spark, sf_dir).repartition(3, "str_id").write.parquet(f"{path}/source")
-    incremental.build_stream(spark, f"{path}/source", "str_id bigint, text string", path)
+    """Three micro-batches, each of as many files as a third of the texts fills."""
+    path, s = fresh_path(spark, "incremental"), conversations(spark, sf_dir)
+    n_bytes = s.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    at_once = 1 + n_bytes // (3 * FILE_BYTES)
+    s.repartition(3 * at_once, "str_id").write.parquet(f"{path}/source")
+    incremental.build_stream(spark, f"{path}/source", "str_id bigint, text string", path, files_at_once=at_once)
     return _levels(incremental.load_state(spark, path).rules)
 
 

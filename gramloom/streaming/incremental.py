@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from gramloom.operators.grammar import Grammar
 from gramloom.operators.parse import build_rows
+from gramloom.plans.materialize import materialize
 
 RULES = "lvl int, fp binary, rhs binary, len bigint, batch bigint"
 STRINGS = "str_id bigint, lvl int, fp binary, len bigint, batch bigint"
@@ -25,18 +26,16 @@ def _state(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
 
 
 def add_batch(strings: DataFrame, batch: int, path: str) -> None:
-    """Append a batch's strings, and the rules that earlier batches don't have."""
+    """Append a batch's strings, and the rules that earlier batches don't have. A batch is dealt over the tasks before
+    it is parsed, as a file of it can be one task's; what is parsed is written once."""
     spark = strings.sparkSession
-    rows = build_rows(strings).persist()
-    try:
-        rules = rows.where("rhs is not null").select("lvl", "fp", "rhs", "len").distinct()
-        had = _state(spark, f"{path}/rules", RULES)
-        if had is not None:
-            rules = rules.join(had.where(had["batch"] != batch).select("lvl", "fp"), ["lvl", "fp"], "left_anti")
-        rules.write.mode("overwrite").parquet(f"{path}/rules/batch={batch}")
-        rows.where("rhs is null").select("str_id", "lvl", "fp", "len").write.mode("overwrite").parquet(f"{path}/strings/batch={batch}")
-    finally:
-        rows.unpersist()
+    rows = materialize(build_rows(strings.repartition("str_id")).distinct(), "batch")
+    rules = rows.where("rhs is not null").select("lvl", "fp", "rhs", "len")
+    had = _state(spark, f"{path}/rules", RULES)
+    if had is not None:
+        rules = rules.join(had.where(had["batch"] != batch).select("lvl", "fp"), ["lvl", "fp"], "left_anti")
+    rules.write.mode("overwrite").parquet(f"{path}/rules/batch={batch}")
+    rows.where("rhs is null").select("str_id", "lvl", "fp", "len").write.mode("overwrite").parquet(f"{path}/strings/batch={batch}")
 
 
 def build_stream(spark: SparkSession, source: str, schema: str | StructType, path: str, *, files_at_once: int = 1) -> None:

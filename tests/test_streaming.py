@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gramloom.operators import grammar as G
+from gramloom.plans import queries as Q
 from gramloom.streaming import incremental as I
 
 
@@ -30,3 +31,29 @@ def test_batch_again(spark, tmp_path):
     assert I.load_state(spark, str(tmp_path)).rules.count() == G.build(df).rules.count()
     I.add_batch(df.withColumn("str_id", F.lit(1).cast("bigint")), 1, str(tmp_path))
     assert I.load_state(spark, str(tmp_path)).rules.count() == G.build(df).rules.count()
+
+
+def test_a_batch_in_one_partition_is_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    tasks, build_rows = [], I.build_rows
+    monkeypatch.setattr(I, "build_rows", lambda s: (tasks.append(s.rdd.getNumPartitions()), build_rows(s))[1])
+    df = spark.createDataFrame([(i, f"string {i} of a batch") for i in range(40)], "str_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # few rows would else be put together again
+    try:
+        I.add_batch(df, 0, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert tasks == [4]
+    assert I.load_state(spark, str(tmp_path)).rules.count() == G.build(df).rules.count()
+
+
+def test_files_of_the_stream_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    rows = [(i, 0, f"turn of the conversation {i} " * 5) for i in range(600)] + [(600, 0, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    seen, stream = [], I.build_stream
+    monkeypatch.setattr(Q, "FILE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(Q.incremental, "build_stream", lambda spark, source, *a, **b: (seen.append((source, b.get("files_at_once", 1))), stream(spark, source, *a, **b)))
+    got = {tuple(r) for r in Q.QUERIES["incremental_build"](spark, str(tmp_path)).collect()}
+    (source, at_once), = seen
+    sizes = [r.n for r in spark.read.parquet(source).groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert max(sizes) < 20_000 and at_once == 3 and len(sizes) <= 3 * at_once
+    assert got == {tuple(r) for r in Q.QUERIES["rules_per_level"](spark, str(tmp_path)).collect()}
