@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gramloom.operators.grammar import Packed
+from gramloom.operators.grammar import Packed, with_starts
 from gramloom.plans.materialize import fresh_path, materialize
 
 RULE_RATE, STRING_RATE = 4, 8
@@ -73,21 +73,26 @@ def _level_of(p: Packed) -> Column | None:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def _unfolded(p: Packed, rows: DataFrame, owner: str, level: Column) -> DataFrame:
-    """(owner, pos, child, lvl, one, run): children with run-length symbols replaced by what they repeat."""
-    rl = p.rl.select(F.col("sym_id").alias("rl_id"), F.col("child").alias("rl_child"), "run_len")
-    joined = rows.join(rl, F.col("child") == F.col("rl_id"), "left") if p.n_rl else rows.withColumn("rl_child", F.lit(None).cast("bigint")).withColumn("run_len", F.lit(None).cast("bigint"))
-    plain = joined.select(F.col(owner).alias("owner"), "pos", F.coalesce("rl_child", "child").alias("child"), F.coalesce("run_len", F.lit(1)).cast("bigint").alias("run"), "len")
-    return plain.select("owner", "pos", "child", level.alias("lvl"), F.expr("len div run").alias("one"), "run")
+def _unfolded(p: Packed, body: DataFrame, owner: str, level: Column) -> DataFrame:
+    """(owner, pos, start, child, lvl, one, run): children with run-length symbols, whose ids are the last ones, replaced by
+    what they repeat; only those are joined."""
+    rows = with_starts(body, owner).select(F.col(owner).alias("owner"), "pos", "start", "child", "len")
+    low = p.rl.agg(F.min("sym_id")).first()[0] if p.n_rl else None
+    alone = rows if low is None else rows.where(F.col("child") < low)
+    plain = alone.select("owner", "pos", "start", "child", F.lit(1).cast("bigint").alias("run"), "len")
+    if low is not None:
+        rl = p.rl.select(F.col("sym_id").alias("rl_id"), F.col("child").alias("rl_child"), "run_len")
+        repeated = rows.where(F.col("child") >= low).join(rl, F.col("child") == F.col("rl_id"))
+        plain = plain.unionByName(repeated.select("owner", "pos", "start", F.col("rl_child").alias("child"), F.col("run_len").cast("bigint").alias("run"), "len"))
+    return plain.select("owner", "pos", "start", "child", level.alias("lvl"), F.expr("len div run").alias("one"), "run")
 
 
 def _chunks(rows: DataFrame, rate: int) -> DataFrame:
-    """(owner, start, size, kids): one shuffle by owner serves the chunks and the running sums over them."""
+    """(owner, start, size, kids): one shuffle by owner."""
     kid = F.struct("pos", "child", "lvl", "one", "run")
-    dealt = rows.repartition("owner").groupBy("owner", F.expr(f"pos div {rate}").alias("chunk"))
-    chunks = dealt.agg(F.sort_array(F.collect_list(kid)).alias("kids"), F.sum(F.col("one") * F.col("run")).alias("size"))
-    upto = Window.partitionBy("owner").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks.select("owner", (F.sum("size").over(upto) - F.col("size")).alias("start"), "size", "kids")
+    chunks = rows.repartition("owner").groupBy("owner", F.expr(f"pos div {rate}").alias("chunk")).agg(
+        F.min("start").alias("start"), F.sum(F.col("one") * F.col("run")).alias("size"), F.sort_array(F.collect_list(kid)).alias("kids"))
+    return chunks.select("owner", "start", "size", "kids")
 
 
 def joined_text(parts: Column) -> Column:
@@ -112,7 +117,7 @@ def sample(p: Packed, path: str | None = None) -> Sampled:
     """The sampled form of a packed grammar, written below a path (in the shared folder if there is none)."""
     path = path or fresh_path(p.spark, "sampled")
     level = _level_of(p)
-    rules = materialize(_unfolded(p, p.rhs, "owner", level), "unfolded")
+    rules = _unfolded(p, p.rhs, "owner", level)
     own = level if isinstance(level, Column) else F.lit(0)
     chunks = _chunks(rules, RULE_RATE).withColumn("child", F.col("owner")).withColumn("lvl", own).drop("child")
     chunks.sortWithinPartitions("lvl", "owner").write.mode("overwrite").partitionBy("lvl").parquet(f"{path}/rule_bodies")

@@ -69,7 +69,7 @@ def terminals(spark: SparkSession) -> DataFrame:
 class Packed:
     """sym (sym_id, kind, lvl, fp, byte, len): kinds t (terminal), lc (rule), rl (run-length rule).
     rhs (owner, pos, child, len) of the rules; roots (str_id, pos, child, len) of the strings; len: bytes of
-    the child's expansion; rl (sym_id, child, run_len). n_rules, n_rl: how many of each; n_strings: with bytes; n: bytes and a separator each."""
+    the child's expansion; once run-length rules are made, start: its first byte in the owner's; rl (sym_id, child, run_len). n_rules, n_rl: how many of each; n_strings: with bytes; n: bytes and a separator each."""
 
     sym: DataFrame
     rhs: DataFrame
@@ -106,28 +106,30 @@ def pack(g: Grammar) -> Packed:
 
 
 def runs(rhs: DataFrame, owner: str = "owner") -> DataFrame:
-    """(owner, pos, child, run_len, len): the maximal runs of equal children, by where they begin; len of all of it."""
+    """(owner, pos, child, run_len, len, nth, start): the maximal runs of equal children, by where they begin; len of all
+    of it, nth its number in the owner, start its first byte."""
     w = Window.partitionBy(owner).orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     new = F.when(F.col("child") == F.lag("child").over(w), 0).otherwise(1)
-    numbered = rhs.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return numbered.groupBy(owner, "run", "child").agg(F.min("pos").alias("pos"), F.count("*").alias("run_len"), F.sum("len").alias("len")).drop("run")
+    numbered = rhs.select(owner, "pos", "child", "len").withColumn("new", new).withColumn("start", F.sum("len").over(upto) - F.col("len")).withColumn("run", F.sum("new").over(upto))
+    return numbered.groupBy(owner, "run", "child").agg(F.min("pos").alias("pos"), F.count("*").alias("run_len"), F.sum("len").alias("len"), F.min("start").alias("start")).withColumn("nth", (F.col("run") - 1).cast("int")).drop("run")
 
 
 def run_length(p: Packed) -> Packed:
-    """Every maximal run of more than one symbol in a body becomes one symbol, a rule for each (child, length)."""
-    all_runs = materialize(runs(p.rhs), "runs")
-    string_runs = runs(p.roots, "str_id")
+    """Every maximal run of more than one symbol in a body becomes one symbol, a rule for each (child, length).
+    Only those runs are joined with the rules; the others stay as they are."""
+    all_runs, string_runs = materialize(runs(p.rhs), "runs"), materialize(runs(p.roots, "str_id"), "runs")
     long_ = all_runs.where("run_len > 1").select("child", "run_len").union(string_runs.where("run_len > 1").select("child", "run_len")).distinct()
     first = N_TERMINALS + p.n_rules
     rl = materialize(with_row_index(long_, ["child", "run_len"], "nth").select((F.col("nth") + first).alias("sym_id"), "child", "run_len"), "rl")
     by = rl.select(F.col("sym_id").alias("rl_id"), F.col("child").alias("c"), F.col("run_len").alias("l"))
 
     def rewritten(r: DataFrame, owner: str) -> DataFrame:
-        w = Window.partitionBy(owner).orderBy("old")
-        joined = r.join(by, (F.col("child") == F.col("c")) & (F.col("run_len") == F.col("l")), "left")
-        return joined.select(owner, F.col("pos").alias("old"), F.coalesce("rl_id", "child").alias("child"), "len").select(owner, (F.row_number().over(w) - 1).alias("pos"), "child", "len")
+        joined = r.where("run_len > 1").join(by, (F.col("child") == F.col("c")) & (F.col("run_len") == F.col("l")))
+        made = materialize(joined.select(owner, F.col("nth").alias("pos"), F.col("rl_id").alias("child"), "len", "start"), "long_runs")
+        return r.where("run_len = 1").select(owner, F.col("nth").alias("pos"), "child", "len", "start").unionByName(made)
 
-    rhs, roots = materialize(rewritten(all_runs, "owner"), "rhs"), materialize(rewritten(string_runs, "str_id"), "roots")
+    rhs, roots = rewritten(all_runs, "owner"), rewritten(string_runs, "str_id")
     of = p.sym.select(F.col("sym_id").alias("c"), "lvl", F.col("len").alias("one"))
     as_sym = rl.join(of, F.col("child") == F.col("c")).select(
         "sym_id", F.lit("rl").alias("kind"), "lvl", F.lit(None).cast("binary").alias("fp"), F.lit(None).cast("int").alias("byte"), (F.col("one") * F.col("run_len")).alias("len"))
@@ -144,67 +146,71 @@ def frequencies(p: Packed) -> DataFrame:
     return p.sym.select("sym_id", "kind", "lvl").join(n, F.col("sym_id") == F.col("child"), "left").select("sym_id", "kind", "lvl", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
 
 
+_DISPOSABLE = "freq = 0 or freq = 1 and kind = 'lc'"
+
+
 def disposable(p: Packed, freq: DataFrame | None = None) -> DataFrame:
     """(sym_id, kind, freq): terminals and rules that aren't used, rules that are used once; never run-length rules used once."""
     f = frequencies(p) if freq is None else freq
-    return f.where((F.col("freq") == 0) | ((F.col("freq") == 1) & (F.col("kind") == "lc"))).select("sym_id", "kind", "freq")
+    return f.where(_DISPOSABLE).select("sym_id", "kind", "freq")
 
 
 def compaction(p: Packed, freq: DataFrame | None = None) -> DataFrame:
     """(sym_id, new_id): kept symbols renumbered without gaps, in their order."""
-    kept = p.sym.select("sym_id").join(disposable(p, freq).select("sym_id"), "sym_id", "left_anti")
-    return with_row_index(kept, ["sym_id"], "new_id")
+    f = materialize(frequencies(p), "frequencies") if freq is None else freq
+    return with_row_index(f.where(f"not ({_DISPOSABLE})").select("sym_id"), ["sym_id"], "new_id")
 
 
 def with_starts(rhs: DataFrame, owner: str) -> DataFrame:
     """rhs with a column start: the child's first byte in its owner's expansion."""
+    if "start" in rhs.columns:
+        return rhs
     w = Window.partitionBy(owner).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rhs.withColumn("start", F.sum("len").over(w) - F.col("len"))
 
 
-def inlined(p: Packed, freq: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(owner, start, child, len) of kept rules and (str_id, start, child, len) of strings: every rule that is used
-    once is replaced by its own body, all the way down; children are in order of start.
+def inlined(p: Packed, freq: DataFrame, ids: DataFrame) -> DataFrame:
+    """(owner, str_id, start, child, len) of kept rules (str_id null) and of strings (owner null), by new ids: every rule
+    that is used once is replaced by its own body, all the way down; children are in order of start.
 
     A rule that is used once has one place, (owner, start). Places are followed upwards by pointer jumping: each
     round joins the places that still stand in such a rule with that rule's own, so there are as many rounds as
-    the logarithm of the number of levels, and each row moves once a round.
+    the logarithm of the number of levels, and each row moves once a round. Bodies are joined twice: with the new
+    ids of children, which rules used once don't have, and with where their owner stands in the end.
     """
     once = materialize(disposable(p, freq).where("freq = 1").select(F.col("sym_id").alias("once")), "once")
     in_rules, in_strings = with_starts(p.rhs, "owner"), with_starts(p.roots, "str_id")
     none = F.lit(None).cast("bigint")
     used = in_rules.select("owner", none.alias("str_id"), "start", "child", "len").unionByName(in_strings.select(none.alias("owner"), "str_id", "start", "child", "len"))
-    used = materialize(used.join(once, F.col("child") == F.col("once"), "left").select("owner", "str_id", "start", "child", "len", F.col("once").isNotNull().alias("inlined")), "used")
-    place = used.where("inlined").select(F.col("child").alias("rule"), F.col("owner").alias("in_rule"), F.col("str_id").alias("in_string"), F.col("start").alias("at"))
+    new = ids.select(F.col("sym_id").alias("old"), F.col("new_id").alias("new_child"))
+    used = materialize(used.join(new, F.col("child") == F.col("old"), "left").drop("old"), "used")
+    place = used.where("new_child is null").select(F.col("child").alias("rule"), F.col("owner").alias("in_rule"), F.col("str_id").alias("in_string"), F.col("start").alias("at"))
     place = materialize(place.join(once, F.col("in_rule") == F.col("once"), "left").select("rule", "in_rule", "in_string", "at", F.col("once").isNotNull().alias("open")), "place")
     while not place.where("open").isEmpty():
         above = place.select(F.col("rule").alias("r"), F.col("in_rule").alias("up"), F.col("in_string").alias("up_string"), F.col("at").alias("up_at"), F.col("open").alias("up_open"))
         moved = place.where("open").join(above, F.col("in_rule") == F.col("r")).select("rule", F.col("up").alias("in_rule"), F.col("up_string").alias("in_string"), (F.col("at") + F.col("up_at")).alias("at"), F.col("up_open").alias("open"))
         place = materialize(place.where("not open").unionByName(moved), "place")
-    rows = used.where("not inlined").join(place, F.col("owner") == F.col("rule"), "left")
-    rows = materialize(rows.select(F.when(F.col("rule").isNull(), F.col("owner")).otherwise(F.col("in_rule")).alias("owner"), F.when(F.col("rule").isNull(), F.col("str_id")).otherwise(F.col("in_string")).alias("str_id"),
-                                   (F.col("start") + F.coalesce("at", F.lit(0))).alias("start"), "child", "len"), "bodies")
-    # rules that nothing uses have bodies no more
-    unused = disposable(p, freq).where("freq = 0 and kind = 'lc'").select(F.col("sym_id").alias("owner"))
-    return rows.where("owner is not null").select("owner", "start", "child", "len").join(unused, "owner", "left_anti"), rows.where("str_id is not null").select("str_id", "start", "child", "len")
+    # rules that nothing uses are in neither part, and what stands in them has no place: they have bodies no more
+    kept = ids.select(F.col("sym_id").alias("of"), F.col("new_id").alias("to"), none.alias("in_string"), F.lit(0).cast("bigint").alias("at"))
+    gone = place.join(ids, F.col("in_rule") == F.col("sym_id"), "left").select(F.col("rule").alias("of"), F.col("new_id").alias("to"), "in_string", "at").where("to is not null or in_string is not null")
+    bodies = used.where("new_child is not null and owner is not null").join(kept.unionByName(gone), F.col("owner") == F.col("of"))
+    bodies = bodies.select(F.col("to").alias("owner"), F.col("in_string").alias("str_id"), (F.col("start") + F.col("at")).alias("start"), F.col("new_child").alias("child"), "len")
+    return bodies.unionByName(used.where("new_child is not null and str_id is not null").select("owner", "str_id", "start", F.col("new_child").alias("child"), "len"))
 
 
 def simplify(p: Packed) -> Packed:
     """Without disposable symbols, and with ids that have no gaps."""
     freq = materialize(frequencies(p), "frequencies")
-    rules, strings = inlined(p, freq)
     ids = compaction(p, freq)
     old = ids.select(F.col("sym_id").alias("old"), "new_id")
     new = lambda df, c: df.join(old, F.col(c) == F.col("old")).drop(c, "old").withColumnRenamed("new_id", c)
-
-    def placed(df: DataFrame, owner: str) -> DataFrame:
-        return df.select(owner, (F.row_number().over(Window.partitionBy(owner).orderBy("start")) - 1).alias("pos"), "child", "len")
-
-    rhs, roots = placed(new(new(rules, "child"), "owner"), "owner"), placed(new(strings, "child"), "str_id")
+    w = Window.partitionBy("owner", "str_id").orderBy("start")
+    bodies = materialize(inlined(p, freq, ids).withColumn("pos", F.row_number().over(w) - 1), "bodies")
+    rhs, roots = bodies.where("owner is not null").select("owner", "pos", "child", "len", "start"), bodies.where("str_id is not null").select("str_id", "pos", "child", "len", "start")
     rl = new(new(p.rl, "child"), "sym_id").select("sym_id", "child", "run_len")
     sym = materialize(new(p.sym, "sym_id").select(p.sym.columns), "sym")
     n_rules = sym.where("kind = 'lc'").count()
-    return replace(p, sym=sym, rhs=materialize(rhs, "rhs"), roots=materialize(roots, "roots"), rl=materialize(rl, "rl"), n_rules=n_rules, n_rl=sym.where("kind = 'rl'").count())
+    return replace(p, sym=sym, rhs=rhs, roots=roots, rl=materialize(rl, "rl"), n_rules=n_rules, n_rl=sym.where("kind = 'rl'").count())
 
 
 # ---- sizes

@@ -89,17 +89,17 @@ def _unrolled(p: G.Packed) -> DataFrame:
     return whole.select("owner", F.posexplode("kids").alias("pos", "child"))
 
 
-def _coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coordinates(s: DataFrame) -> DataFrame:
     """For each string a range: from a quarter of its bytes on, 10 to 49 bytes."""
-    s = conversations(spark, sf_dir)
     a = F.floor(F.octet_length("text") / 4).cast("bigint")
     return s.select(F.col("str_id").alias("qid"), "str_id", a.alias("start"), (a + 9 + F.col("str_id") % 40).alias("stop"))
 
 
 def _access(simple: bool, char: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = _coordinates(spark, sf_dir)
-        p = G.run_length(G.pack(G.build(conversations(spark, sf_dir))))
+        s = conversations(spark, sf_dir)
+        q = _coordinates(s)
+        p = G.run_length(G.pack(G.build(s)))
         path = fresh_path(spark, "stored")
         storage.save_packed(G.simplify(p) if simple else p, path, simplified=simple, random_access=True)
         return A.access(storage.load_samples(spark, path), q.withColumn("stop", F.col("start")) if char else q)
@@ -108,7 +108,7 @@ def _access(simple: bool, char: bool) -> Query:
 
 
 def _parse_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _coordinates(spark, sf_dir)
+    c = _coordinates(conversations(spark, sf_dir))
     text = F.when(F.col("qid") % 7 == 3, F.concat_ws(":", "qid", "start")).when(F.col("qid") % 7 == 5, F.concat(F.lit("x:"), "start", F.lit("-"), "stop")).otherwise(F.concat(F.col("qid"), F.lit(":"), F.col("start"), F.lit("-"), F.col("stop")))
     return S.coordinates(c.select(text.alias("query")))
 

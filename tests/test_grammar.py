@@ -62,6 +62,17 @@ def test_children_are_a_level_below(stages):
     assert stages["plain"].rhs.join(lv, F.col("owner") == F.col("i")).join(lw, F.col("child") == F.col("j")).where("a <> b + 1").isEmpty()
 
 
+@pytest.mark.parametrize("stage", ["rl", "simple"])
+def test_bodies_keep_where_children_start(stages, stage):
+    """So what follows needs no window over the bodies to find it."""
+    p = stages[stage]
+    for df, owner in ((p.rhs, "owner"), (p.roots, "str_id")):
+        rows = df.select(owner, "pos", "child", "len", "start")
+        assert G.with_starts(rows.drop("start"), owner).select(rows.columns).exceptAll(rows).isEmpty()
+        plan = A._unfolded(p, df, owner, F.lit(0))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "LeftOuter" not in plan
+
+
 def test_merge_is_joint_build(strings):
     a, b = G.build(strings.where("str_id % 2 = 0")), G.build(strings.where("str_id % 2 = 1"))
     both, joint = G.merge(a, b), G.build(strings)
