@@ -168,7 +168,7 @@ def _digests(s: Symbols, which: np.ndarray) -> pa.Array:
 
 
 #: Bytes of text that are parsed at once: a round holds about 80 bytes of arrays for each, in every Python worker.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 def _batches(batches: Iterator[pa.RecordBatch], bytes_at_once: int = AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:

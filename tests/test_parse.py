@@ -1,6 +1,7 @@
 """Vectorised parsing against a plain model of the same rules."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -68,3 +69,32 @@ def test_a_worker_holds_a_bounded_part_of_a_batch():
     assert [t for _, part in parts for t in part] == [None if t is None else t.encode() for t in texts]
     assert [i for b, _ in parts for i in b.column(0).to_pylist()] == list(range(len(texts)))
     assert all(sum(len(t or b"") for t in part[:-1]) < P.AT_ONCE <= 1 << 20 for _, part in parts)
+
+
+def peak_mb(f, batches):
+    """MB that f holds at most while its rows are taken batch by batch; the input is held by the caller."""
+    tracemalloc.start()
+    try:
+        for _ in f(iter(batches)):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def batch_of(n_bytes):
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 500, np.uint8).tobytes().decode() for _ in range(n_bytes // 500)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["str_id", "text"])
+
+
+@pytest.mark.parametrize("step", [P.build_rows, P.parse_rows, P.run_rows, P.byte_counts])
+def test_memory_of_a_step_does_not_grow_with_its_batches(spark, monkeypatch, step):
+    held = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema: held.append(f) or spark.createDataFrame([], schema))
+    step(spark.createDataFrame([], "str_id bigint, text string"))
+    small, large = batch_of(1_000_000), batch_of(4_000_000)
+    peak_mb(held[0], [small])  # tables that stay
+    few, many = peak_mb(held[0], [small]), peak_mb(held[0], [large])
+    assert many < 1.25 * few + 4 and many < 40
