@@ -11,6 +11,7 @@ from tests.test_parse import batch_of, peak_mb
 NAMES = [
     "lcp_pairs",
     "symbol_kinds",
+    "grammar_meta",
 ]
 _peaks = {}
 
