@@ -12,6 +12,7 @@ NAMES = [
     "lcp_pairs",
     "symbol_kinds",
     "grammar_meta",
+    "rule_lengths",
 ]
 _peaks = {}
 
