@@ -13,6 +13,7 @@ NAMES = [
     "symbol_kinds",
     "grammar_meta",
     "rule_lengths",
+    "simplified_rules",
 ]
 _peaks = {}
 
