@@ -14,6 +14,7 @@ NAMES = [
     "grammar_meta",
     "rule_lengths",
     "simplified_rules",
+    "rhs_unrolled",
 ]
 _peaks = {}
 
