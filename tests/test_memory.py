@@ -15,6 +15,7 @@ NAMES = [
     "rule_lengths",
     "simplified_rules",
     "rhs_unrolled",
+    "disposable_symbols",
 ]
 _peaks = {}
 
