@@ -16,6 +16,7 @@ NAMES = [
     "simplified_rules",
     "rhs_unrolled",
     "disposable_symbols",
+    "id_compaction",
 ]
 _peaks = {}
 
