@@ -17,6 +17,7 @@ NAMES = [
     "rhs_unrolled",
     "disposable_symbols",
     "id_compaction",
+    "ra_samples_strings",
 ]
 _peaks = {}
 
