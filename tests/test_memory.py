@@ -18,6 +18,7 @@ NAMES = [
     "disposable_symbols",
     "id_compaction",
     "ra_samples_strings",
+    "rl_rules",
 ]
 _peaks = {}
 
