@@ -19,6 +19,7 @@ NAMES = [
     "id_compaction",
     "ra_samples_strings",
     "rl_rules",
+    "decompress",
 ]
 _peaks = {}
 
