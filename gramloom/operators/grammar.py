@@ -98,7 +98,7 @@ def pack(g: Grammar) -> Packed:
     roots = g.strings.where("fp is not null").select("str_id", F.col("lvl").alias("below"), "fp").withColumn("k", F.xxhash64("below", "fp")).join(used, same)
     roots = materialize(roots.select("str_id", F.lit(0).alias("pos"), "child", "len"), "roots")
     counts = g.strings.agg(F.count("fp").alias("s"), F.coalesce(F.sum(F.when(F.col("fp").isNotNull(), F.col("len") + 1)), F.lit(0)).alias("n")).first()
-    none = spark.createDataFrame([], "sym_id bigint, child bigint, run_len bigint")
+    none = spark.range(0).select(F.col("id").alias("sym_id"), F.col("id").alias("child"), F.col("id").alias("run_len"))  # a list of rows would start Python workers
     return Packed(sym, rhs, roots, none, numbered.count(), 0, counts["s"], counts["n"])
 
 

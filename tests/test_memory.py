@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import GroupedData
 
 from gramloom.plans import queries as Q
@@ -20,6 +21,7 @@ NAMES = [
     "ra_samples_strings",
     "rl_rules",
     "decompress",
+    "expand_symbol",
 ]
 _peaks = {}
 
@@ -37,7 +39,7 @@ def test_python_of_a_query_is_bounded(spark, tables, monkeypatch, name):
     frame, ran = type(spark.range(0)), []
     arrow = frame.mapInArrow
     monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema: ran.append(f) or arrow(df, f, schema))
-    for owner, other in ((frame, "mapInPandas"), (GroupedData, "applyInPandas"), (GroupedData, "applyInArrow")):
+    for owner, other in ((frame, "mapInPandas"), (GroupedData, "applyInPandas"), (GroupedData, "applyInArrow"), (SparkContext, "parallelize")):
         monkeypatch.setattr(owner, other, lambda *_, **__: pytest.fail("more Python"))
     Q.QUERIES[name](spark, tables).collect()
     assert {f.__qualname__ for f in ran} == {"build_rows.<locals>.run"}
