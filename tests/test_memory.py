@@ -22,6 +22,7 @@ NAMES = [
     "rl_rules",
     "decompress",
     "expand_symbol",
+    "ra_samples_rules",
 ]
 _peaks = {}
 
