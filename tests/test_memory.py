@@ -23,6 +23,7 @@ NAMES = [
     "decompress",
     "expand_symbol",
     "ra_samples_rules",
+    "string_rhs_len",
 ]
 _peaks = {}
 
