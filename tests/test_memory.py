@@ -24,6 +24,7 @@ NAMES = [
     "expand_symbol",
     "ra_samples_rules",
     "string_rhs_len",
+    "code_sizes",
 ]
 _peaks = {}
 
